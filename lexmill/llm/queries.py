@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from lexmill.llm import minhash
+from lexmill.llm import chunkdedup, decontam, minhash, packing, quality, tokencount, tokenfile
 
 QUERIES = {
+    "op3_decontamination": decontam.op3,
+    "op4_best_fit_packing": packing.op4,
+    "op6_token_counts": tokencount.op6,
+    "op7_chunk_dedup": chunkdedup.op7,
+    "op8_token_files": tokenfile.op8,
     "op9_minhash_near_dedup": minhash.op9,
+    "op10_quality_rules": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontam.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
+}
