@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chunkdedup, decontam, minhash, packing, quality, tokencount, tokenfile
+from lexmill.llm import chunkdedup, decontam, minhash, packing, pii, quality, secrets, tokencount, tokenfile
 
 QUERIES = {
+    "op1_pii": pii.op1,
     "op3_decontamination": decontam.op3,
     "op4_best_fit_packing": packing.op4,
+    "op5_secret_scan": secrets.op5,
     "op6_token_counts": tokencount.op6,
     "op7_chunk_dedup": chunkdedup.op7,
     "op8_token_files": tokenfile.op8,
