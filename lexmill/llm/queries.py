@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chunkdedup, decontam, minhash, packing, pii, quality, secrets, tokencount, tokenfile
+from lexmill.llm import chunkdedup, decontam, langid, minhash, packing, pii, quality, secrets, tokencount, tokenfile
 
 QUERIES = {
     "op1_pii": pii.op1,
+    "op2_language_id": langid.op2,
     "op3_decontamination": decontam.op3,
     "op4_best_fit_packing": packing.op4,
     "op5_secret_scan": secrets.op5,
