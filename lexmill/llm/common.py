@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -158,85 +157,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-class ChunkEncoder:
-    """Token ids of whole texts by a tokenizers JSON file, exactly as the library gives them.
-
-    A text is cut where the file's own splitting always cuts (before a space that precedes a visible
-    character, or at white space if the file drops it), so each chunk has the same ids alone as in its text.
-    Chunks repeat, so their ids are kept; the rest of a slice of texts is encoded in one call, joined by a
-    special token. Texts that hold `<|`, as special strings do, or control characters that Python alone takes
-    for white space go to the library whole.
-    """
-
-    def __init__(self, path: str, most: int = 250_000, longest: int = 40):
-        import json
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        spec = json.load(open(path))
-        self.tok = Tokenizer.from_file(path)
-        self.drops_space = spec["normalizer"] is not None
-        self.sep = spec["added_tokens"][0]
-        self.cut = re.compile(r"(?= \S)").split
-        self.odd = re.compile("<\\||[\x1c-\x1f\x85]").search
-        self.kept: dict[str, bytes] = {}
-        self.most, self.longest = most, longest
-
-    def chunks(self, text: str) -> list[str]:
-        return text.split() if self.drops_space else self.cut(text)
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        sep, text = self.sep["id"], self.sep["content"]
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            ids = np.array(self.tok.encode_batch_fast([text.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == sep), len(ids))
-            if len(ends) != len(part):  # a chunk was more than text; never seen, but then each goes alone
-                out.update((c, np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()) for c in part)
-                continue
-            raw, start = ids.tobytes(), 0
-            for c, e in zip(part, ends.tolist()):
-                out[c] = raw[4 * start:4 * e]
-                start = e + 1
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        odd = [i for i, t in enumerate(texts) if self.odd(t)]
-        cut = [self.chunks(t) for t in texts]
-        for i in odd:
-            cut[i] = []
-        need = set(chain.from_iterable(cut))
-        kept = self.kept
-        new = [c for c in need if c not in kept]
-        if len(kept) + len(new) > self.most:
-            kept.clear()
-            new = list(need)
-        kept.update(self._learn(new))
-        get = kept.__getitem__
-        out = [b"".join(map(get, cs)) for cs in cut]
-        for c in new:
-            if len(c) > self.longest:
-                del kept[c]
-        for i in odd:
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder of a file; it stays for the worker's next tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

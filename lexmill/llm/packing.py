@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import encoder, read_table, slices, tokenizer_path, written
+from lexmill.llm.common import read_table, slices, tokenizer_path, written
+from lexmill.llm.encoding import encoder
 
 SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 2, 2, 6, 4
 #: Pieces of a shard's least filled bins that are packed again with those of 63 other shards.

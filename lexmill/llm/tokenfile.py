@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import encoder, local_path, read_table, shared_dir, slices, tokenizer_path
+from lexmill.llm.common import local_path, read_table, shared_dir, slices, tokenizer_path
+from lexmill.llm.encoding import encoder
 
 BLOCK, PERCENTILE = 128, 90
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("end", "<u8")])
