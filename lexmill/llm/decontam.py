@@ -140,7 +140,7 @@ def _verified(rows: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, spans (array of start and end word of merged hits), items (ids of items with occurring windows).
+    """Per document: doc_id, copy (md5 of the text), n_words, spans (array of start and end word of merged hits), items (ids of items with occurring windows).
 
     Null or empty texts have no words and no hits; so have all documents if there are no items. Rows alike in
     doc_id and text each get their result; rows that share a doc_id, null too, but not the text get their own.
@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.col("n")).cast("int").alias("end"))))).alias("raw"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"),
     )
-    merged = per_doc.select("doc_id", "n_words", "copies", _merge("raw").alias("spans"), F.array_sort("items").alias("items"))
+    merged = per_doc.select("doc_id", F.lower(F.hex("copy")).alias("copy"), "n_words", "copies", _merge("raw").alias("spans"), F.array_sort("items").alias("items"))
     return merged.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 
@@ -188,6 +188,13 @@ def _merge(spans: str):
     return F.aggregate(s, empty, step, end)
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """docs without those that hold any window of an item; all others stay, whatever is null or repeated in them."""
+    hit = written(contamination(docs, items, size).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["__doc"]) & (F.md5(docs["text"].cast("string").cast("binary")) == hit["__copy"])
+    return docs.join(hit, same, "left_anti")
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from lexmill.llm.common import mix, read_table, slices
 
@@ -247,11 +248,20 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             lang, score = label(batch.column(at).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "lang_score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType()))
 
 
+def accepted(docs: DataFrame, model: Model, least_score: float = 0.4) -> DataFrame:
+    """docs without those of no known language: `und`, or a mean posterior below least_score. The columns stay as they are."""
+    names = docs.columns
+    if not model.langs:
+        return docs
+    odd = [n for n in ("lang_pred", "lang_score") if n in names]
+    aside = docs.withColumnsRenamed({n: f"__{n}" for n in odd})
+    out = languages(aside, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least_score)).drop("lang_pred", "lang_score")
+    return out.withColumnsRenamed({f"__{n}": n for n in odd}).select(*names)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text", "lang"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import read_table
+from lexmill.llm.common import read_table, written
 from lexmill.llm.pii import cut
 from lexmill.llm.spans import joined, let, matches
 
@@ -84,6 +84,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_c
     """docs with each reported span of text_col replaced by its kind in angle brackets; of spans that overlap, the earliest and longest."""
     to_cut = F.array_sort(F.transform(F.concat("base", "linked"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
     hit = secrets(docs, scope, id_col, text_col).where("size(base) + size(linked) > 0").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), to_cut.alias("__cut")).dropDuplicates(["__id", "__copy"])
+    hit = written(hit)
     same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("__copy"))
     new = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(let(F.col("__cut"), lambda v: cut(F.col(text_col), v)))
     return docs.join(hit, same, "left").withColumn(text_col, new).select(*docs.columns)
