@@ -1,12 +1,54 @@
-"""The training-data pipeline over documents."""
+"""The training-data pipeline over documents: each stage gets what its predecessor kept."""
 
 from __future__ import annotations
 
-from lexmill.llm import minhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from lexmill.llm import decontam, langid, minhash, packing, secrets
+from lexmill.llm.common import read_table, tokenizer_path, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the model knows; those without letters or of a doubtful language go."""
+    return langid.accepted(docs, langid.fit(docs.select("doc_id", "text", "lang")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return minhash.deduplicated(docs, k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of a benchmark item."""
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by the kind of each; n_chars follows the text."""
+    out = secrets.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2,048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: A trained model, MinHash and a genetic algorithm take part: tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,7 +77,7 @@ def _node(s: np.ndarray) -> int:
 
 
 def shingled(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, n_shingles, sig) of every document; sig and node are null where it has no words."""
+    """(doc_id, node, n_shingles, sig, copy) of every document; sig and node are null where it has no words."""
 
     def run(batches):
         words, (a, b) = WordHashes(), _perms()
@@ -97,9 +97,10 @@ def shingled(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     np.minimum(low, h.min(1), out=low)
                 node.append(_node(s))
                 sig.append(low.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "node", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), batch.column(2)], names=["doc_id", "node", "n_shingles", "sig", "copy"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n_shingles long, sig binary")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("copy")).mapInArrow(run, "doc_id long, node long, n_shingles long, sig binary, copy long")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -132,19 +133,22 @@ def _unlikely_gone(pairs: DataFrame, nodes: DataFrame, least) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    bits = spark.sparkContext.broadcast(bit_filter(wanted, "node"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # The sets are made again from one document of each node alone.
+    sources = nodes.join(wanted, "node", "left_semi").select(F.xxhash64("least_doc").alias("h"))
+    bits = spark.sparkContext.broadcast(bit_filter(sources, "h"))
 
     def sets(batches):
         words, seen = WordHashes(), set()
         for batch in slices(batches):
             nodes, raw = [], []
-            for t in batch.column(0).to_pylist():
+            passed = in_filter(bits.value, batch.column(1).to_numpy().view(np.uint64))
+            for t in batch.column(0).filter(pa.array(passed)).to_pylist():
                 s = shingle_set(t, words, k)
-                if len(s) and in_filter(bits.value, np.array([node := _node(s)], np.int64).view(np.uint64))[0] and node not in seen:
+                if len(s) and (node := _node(s)) not in seen:
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(node)
@@ -163,8 +167,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     # One copy of each set: of a node with many copies, each task passes on one.
-    full = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(sets, "node long, raw binary")
-    full = written(full.join(wanted.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    full = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("h")).mapInArrow(sets, "node long, raw binary")
+    full = written(full.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(full.select(F.col("node").alias("b"), F.col("raw").alias("rb")), "b").join(full.select(F.col("node").alias("a"), F.col("raw").alias("ra")), "a")
     return written(both.select("a", "b", "ra", "rb").mapInArrow(check, "a long, b long"))
 
@@ -197,8 +201,8 @@ def _across(bands: DataFrame, labels: DataFrame, nodes: DataFrame, least) -> Dat
     return members.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", with_copy: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept, and on demand copy (xxhash64 of the text).
 
     Words are runs without ASCII white space, A-Z lower-cased. A document's set: its distinct k-word shingles;
     with fewer words, the whole sequence. Two documents are linked if 100 * intersection >= percent * union;
@@ -215,23 +219,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     star = bands.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     star = written(_unlikely_gone(star, nodes, least))
     near = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _confirmed(near, docs, k, percent, text_col)
+    links = _confirmed(near, nodes, docs, k, percent, id_col, text_col)
     labels = components(links)
     la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias("l" + x)) for x in "ab")
     apart = star.join(near, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
     rest = apart.union(_across(bands, labels, nodes, least)).distinct().join(near, ["a", "b"], "left_anti")
     rest = written(rest)
     if not rest.isEmpty():
-        links = links.union(_confirmed(rest, docs, k, percent, text_col))
+        links = links.union(_confirmed(rest, nodes, docs, k, percent, id_col, text_col))
         labels = components(links)
     named = nodes.join(labels, "node", "left").select("node", "least_doc", F.coalesce("label", "node").alias("label"))
     # The labels of nodes that are linked with none need no grouping.
     groups = labels.join(nodes.select("node", "least_doc"), "node").groupBy("label").agg(F.min("least_doc").alias("component_id"))
     per_node = named.join(groups, "label", "left").select("node", F.coalesce("component_id", "least_doc").alias("component_id"))
-    out = table.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    out = table.select("doc_id", "n_shingles", "copy", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     out = out.join(per_node, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *["copy"] * with_copy)
 
 
 def _crowded(nodes: DataFrame) -> DataFrame:
@@ -241,5 +245,24 @@ def _crowded(nodes: DataFrame) -> DataFrame:
     return rows.join(first, "key").select("key", "node", "a")
 
 
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that near_duplicates() does not keep; of rows alike in doc_id and text one stays.
+
+    Documents without words, and rows whose doc_id is null, all stay.
+    """
+    digest = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    names = docs.columns
+    found = written(near_duplicates(docs, k, percent, miss, id_col, text_col, with_copy=True))
+    keys = [F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")]
+    out = docs.withColumns({"__doc": docs[id_col].cast("long"), "__copy": digest})
+    # Written, so that its size is known when the join is planned.
+    out = out.join(written(found.where(~F.col("kept")).select(*keys).distinct()), ["__doc", "__copy"], "left_anti")
+    twice = written(found.where("doc_id is not null and n_shingles > 0").groupBy(*keys).count().where("count > 1").drop("count"))
+    if not twice.isEmpty():
+        again = out.join(twice, ["__doc", "__copy"], "left_semi").dropDuplicates(["__doc", "__copy"])
+        out = out.join(twice, ["__doc", "__copy"], "left_anti").unionByName(again)
+    return out.select(*names)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=2, percent=80)
