@@ -59,10 +59,9 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 register("tokenize", lambda s, d: tokenized(view(s, d)).select("path", F.posexplode("tokens").alias("pos", "term")), f"{BASE} select path, pos, term from tok")
 register("token_count", lambda s, d: tokenized(view(s, d)).select("path", F.size("tokens").cast("long").alias("token_count")), f"{BASE} select path, count(term) token_count from v left join tok using (path) group by 1")
-_joined = F.array_join(F.col("positions").cast("array<string>"), ",")
 register(
     "postings",
-    lambda s, d: postings_of(tokenized(view(s, d)), ["path"]).select("term", "path", F.col("tf").cast("long").alias("tf"), _joined.alias("positions")),
+    lambda s, d: postings_of(tokenized(view(s, d)), ["path"]).select("term", "path", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")),
     f"{BASE} select term, path, count(*) tf, string_agg(pos::varchar, ',' order by pos) positions from tok group by 1, 2",
 )
 register("term_df", lambda s, d: corpus(s, d).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), f"{BASE} select term, count(distinct path) df, count(*) cf from tok group by 1")
