@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.ORACLE,
+    "op9_minhash_near_dedup": minhash.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }

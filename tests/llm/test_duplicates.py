@@ -175,3 +175,19 @@ def test_repeats(spark, docs_of):
     kept = {x["doc_id"]: len(x["text"]) for x in out.collect()}
     assert kept[4] == len(text[4]) and kept[9] < len(text[9]) - 0.7 * len(shared)
     assert chunkdedup.repeats(docs_of([])).count() == 0 and chunkdedup.without_repeats(docs_of([])).count() == 0
+
+
+def test_large_buckets(spark, docs_of, monkeypatch):
+    """Many documents that are alike but not linked, in buckets that are split by a second band."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SPLIT", 12)
+    r = random.Random(12)
+    base = [f"a{i}" for i in range(200)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for p in r.sample(range(200), 3 if i % 3 else 14):
+            w[p] = f"b{i}x{r.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs_of(rows), k=2).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 2, 80).items()}
