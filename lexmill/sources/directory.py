@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.deploy import ship
 from lexmill.functions.text import glob_match
 
 MOST_FILE_BYTES = 16 << 20
@@ -81,6 +82,7 @@ def read(spark: SparkSession, found: Scan, invalid: str = "replace") -> DataFram
     A file that changes or fails while it is read has an error and no text. Invalid UTF-8 becomes U+FFFD, one for
     each maximal subsequence, or with invalid="reject" an error that names the offset.
     """
+    ship(spark)
     root, schema = found.root, "path string, file_size long, mtime_ns long, content binary, text string, n_invalid long, error string"
 
     def one(path: str, size: int, mtime_ns: int):
