@@ -95,7 +95,7 @@ def _occurrences(docs: DataFrame, bits, text_col: str, id_col: str) -> DataFrame
 
 
 def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each repeat: doc_id, span_start, span_end (code points), n_words, first_doc_id (where its first chunk stands first), copy.
+    """A row for each repeat: doc_id, span_start, span_end (code points), n_words, first_doc_id (where its largest chunk stands first), copy.
 
     A-Z count as a-z. Null and empty texts have no chunks. Rows alike in doc_id and text are one document, so they
     are no repeats of each other; `copy` tells rows apart that share a doc_id but not the text. A null doc_id
@@ -118,11 +118,14 @@ def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text
                 i = 0
                 while i < len(chunks):
                     j, words = i, 0
-                    while j < len(chunks) and chunks[j]["idx"] - chunks[i]["idx"] == j - i:
+                    # A run repeats other documents or its own: short chunks that stand everywhere don't join the two.
+                    own = chunks[i]["first"] == doc_id
+                    while j < len(chunks) and chunks[j]["idx"] - chunks[i]["idx"] == j - i and (chunks[j]["first"] == doc_id) == own:
                         words += chunks[j]["words"]
                         j += 1
                     if words >= least_words:
-                        out.append((doc_id, chunks[i]["start"], chunks[j - 1]["end"], words, chunks[i]["first"], copy))
+                        source = max(chunks[i:j], key=lambda c: c["words"])["first"]
+                        out.append((doc_id, chunks[i]["start"], chunks[j - 1]["end"], words, source, copy))
                     i = j
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "span_start", "span_end", "n_words", "first_doc_id", "copy"])
