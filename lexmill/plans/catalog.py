@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +16,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as tx
 from lexmill.operators import maintenance as mt
 from lexmill.operators import validation as vd
+from lexmill.operators.search import Searcher
 from lexmill.plans import compile as cp
 from lexmill.plans import query as q
 from lexmill.sources.corpus import DirectCorpus, documents_view, postings_of
@@ -289,6 +296,66 @@ for _rule, _sql in {
 }.items():
     register(f"validate_{_rule}", validation(_rule), _sql)
 
+# --- the same by way of an index on disk -------------------------------------------------------------------------
+
+
+@functools.cache
+def _home(root: str | None) -> Path:
+    """Where the catalog's indexes go: the cluster's shared folder, or a temporary one where none is set."""
+    path = Path(tempfile.mkdtemp(prefix="lexmill-index-", dir=root))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def _new_index(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = root.removeprefix("file://").removeprefix("file:") if root else None
+    if root:
+        Path(root).mkdir(parents=True, exist_ok=True)
+    elif not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return str(_home(root) / uuid.uuid4().hex)
+
+
+def indexed(expression: str, k: int | None, later: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A search of an index of the corpus; `later`: after an update to a changed source and a removal."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = maintained(spark, sf_dir) if later else _new_index(spark)
+        if not later:
+            mt.IndexWriter(spark, index).rebuild(view(spark, sf_dir))
+        return Searcher(spark, index).search_df(expression, k).select("path", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def maintained(spark: SparkSession, sf_dir: str) -> str:
+    index, n = _new_index(spark), F.regexp_extract("path", r"doc-([0-9]+)", 1).cast("long")
+    w = mt.IndexWriter(spark, index)
+    w.rebuild(view(spark, sf_dir))
+    w.update(view(spark, sf_dir).where(n % 7 != 0).withColumn("text", F.when(n % 4 == 0, F.concat("text", F.lit(" updatedword"))).otherwise(F.col("text"))))
+    w.remove(["src1/*"])
+    return index
+
+
+def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = mt.validate_index(spark, maintained(spark, sf_dir))
+    names = ("documents", "segments", "tombstones", "terms", "postings", "positions")
+    return spark.createDataFrame([tuple(getattr(st, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+_LATER = f"""with v0 as (select * from ({VIEW.removeprefix('v as (')}),
+v as (select path, case when doc_id % 4 = 0 then text || ' updatedword' else text end as text from v0 where doc_id % 7 <> 0 and path not glob 'src1/*'), {_tokens_sql('v')}"""
+register("indexed_bm25", indexed("the of", 20), ORACLE_SQL["bm25_topk"])
+register("indexed_phrase", indexed('"of and"~3 NOT la', 20), ORACLE_SQL["bm25_phrase"])
+register("indexed_after_update", indexed("updatedword OR that", None, later=True), f"{_LATER}, {SCORES} select path, round(sum(score), 6) score from part where term in ('updatedword', 'that') group by 1")
+register(
+    "index_counts",
+    index_counts,
+    f"""{_LATER} select (select count(*) from v)::bigint documents, 3::bigint segments, (select count(*) from v0 where doc_id % 7 = 0 or path glob 'src1/*')::bigint tombstones,
+  (select count(distinct term) from tok)::bigint terms, (select count(*) from (select distinct path, term from tok))::bigint postings, (select count(*) from tok)::bigint positions""",
+)
+
 # --- the same operators over the other text tables -------------------------------------------------------------------
 
 

@@ -96,3 +96,10 @@ def test_tokens_and_snippets():
     assert len(long.encode()) <= 240 and long.endswith("...")
     with pytest.raises(ValueError):
         tx.tokenize("x" * 257)
+
+
+def test_crc32c():
+    from lexmill.functions.checksum import crc32c
+
+    assert crc32c(b"123456789") == 0xE3069283 and crc32c(b"") == 0
+    assert crc32c(b"6789", crc32c(b"12345")) == 0xE3069283
