@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        folder = tempfile.mkdtemp(prefix="lexmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
 

@@ -21,8 +21,8 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from lexmill.llm.common import mix, read_table, slices
 
 HASH_BITS, NGRAMS, CHAIN = 17, (1, 2, 3, 4), 48
-#: The bound of the training sample: documents of each language, and words of each.
-DOCS_PER_LANG, WORDS_PER_DOC = 300, 384
+#: The bounds of the training sample: documents of each language and in all, and words of each.
+DOCS_PER_LANG, MOST_DOCS, WORDS_PER_DOC = 300, 4096, 384
 _WORD = None
 
 
@@ -219,12 +219,14 @@ def held_out(doc_id):
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """A model of a sample of docs (doc_id, text, lang): those with a text and a language that are not held out.
 
-    The sample is bounded by docs_per_lang for each language, chosen by a hash of doc_id, and by WORDS_PER_DOC.
+    The sample is bounded by docs_per_lang for each language (chosen by a hash of doc_id, so that is the mean; twice
+    of it at most), by MOST_DOCS in all, and by WORDS_PER_DOC.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(True)))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
     if not counts:
         return train([])
+    docs_per_lang = max(1, min(docs_per_lang, MOST_DOCS // len(counts)))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, docs_per_lang / n))))
     # A document's words beyond the first WORDS_PER_DOC are of no use here, and 64 characters a word are plenty.

@@ -76,10 +76,15 @@ def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of text_col replaced by its kind in angle brackets; of spans that overlap, the earliest and longest."""
-    spans = F.array_sort(F.concat(*(F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))) for k in SCORES)))
-    new = let(spans, lambda v: F.when(F.size(v) == 0, F.col(text_col)).otherwise(cut(F.col(text_col), v)))
-    return personal_data(docs, text_col).withColumn(text_col, new).select(*docs.columns)
+    """docs with each span of text_col replaced by its kind in angle brackets; of spans that overlap, the earliest and longest.
+
+    A null text stays null; all other columns stay as they are.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out = docs.withColumn("__text", text).withColumns({f"__{k}": v for k, v in found(F.col("__text")).items()})
+    spans = F.array_sort(F.concat(*(F.transform(F.col(f"__{k}"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))) for k in SCORES)))
+    new = let(spans, lambda v: F.when(F.size(v) == 0, F.col(text_col)).otherwise(cut(F.col("__text"), v)))
+    return out.withColumn(text_col, new).select(*docs.columns)
 
 
 def cut(text: Column, spans: Column) -> Column:
