@@ -88,7 +88,7 @@ def test_globs():
 
 def test_tokens_and_snippets():
     assert tx.tokenize("Timeout retry_policy HTTP2") == ["timeout", "retry_policy", "http2"]
-    assert tx.tokenize("camelCase 中文 end K") == ["camelcase", "end"]
+    assert tx.tokenize("camelCase 中文 end \u212a") == ["camelcase", "end"]
     assert tx.snippet_of("one\r\ntwo é unique\n", {"unique"}) == (2, "two é unique")
     assert tx.snippet_of("one\n", {"no"}) is None
     assert tx.snippet_of("", set()) is None and tx.snippet_of("\nx", set()) == (1, "")
