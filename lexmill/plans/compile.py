@@ -47,7 +47,7 @@ def phrase_flag(m: Column, terms: tuple[str, ...], proximity: int) -> Column:
     """Whether the terms stand in order with at most `proximity` places between them in all.
 
     From each place of the first term the nearest later place of each next one is taken, which makes the end as
-    near as it can be.
+    near as it can be. Without places between, the sets of places are met instead.
     """
     def places(t: str) -> Column:
         return m[t]["positions"]
@@ -57,7 +57,11 @@ def phrase_flag(m: Column, terms: tuple[str, ...], proximity: int) -> Column:
         end = F.aggregate(F.array(*map(places, terms[1:])), start, lambda before, p: F.array_min(F.filter(p, lambda x: x > before))) if len(terms) > 1 else start
         return F.coalesce(end - start - (len(terms) - 1) <= F.lit(proximity), F.lit(False))
 
-    return F.coalesce(reduce(lambda a, b: a & b, [F.map_contains_key(m, F.lit(t)) for t in dict.fromkeys(terms)]) & F.exists(places(terms[0]), fits), F.lit(False))
+    if proximity == 0:  # neighbours: places moved on by one, met with the next term's; linear in their numbers
+        there = F.size(reduce(lambda found, t: F.array_intersect(F.transform(found, lambda x: x + 1), places(t)), terms[1:], places(terms[0]))) > 0
+    else:
+        there = F.exists(places(terms[0]), fits)
+    return F.coalesce(reduce(lambda a, b: a & b, [F.map_contains_key(m, F.lit(t)) for t in dict.fromkeys(terms)]) & there, F.lit(False))
 
 
 _COMPARE = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
