@@ -1,23 +1,30 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash over 32 bytes of the lower-cased text cuts it wherever the hash's top bits are zero, 32
+A gear rolling hash over 16 bytes of the lower-cased text cuts it wherever five of the hash's bits are zero, 32
 bytes apart on average; there is no least or greatest length, so whether a place is a cut depends on the bytes
 before it alone, and an insertion changes only the chunks that it touches. Chunks are deduplicated by a
 128-bit digest over the whole corpus: of each digest one place is the first, by doc_id and place. Runs of
-chunks that are not the first of theirs and together hold at least `least_words` words are repeats.
+chunks that are not the first of theirs are compared with the texts around their first places, byte by byte to
+both sides; what then holds at least `least_words` words is a repeat.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import bit_filter, in_filter, read_table, slices, written
 
 CUT_BITS = 5
+#: Bytes that a cut depends on.
+WINDOW = 16
+#: Words beside a chunk that tell whether its surroundings can be alike.
+NEAR = 5
 _GEAR = np.random.default_rng(8191).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -33,8 +40,8 @@ def gear(raw: bytes) -> np.ndarray:
 
 
 def cuts(raw: bytes) -> np.ndarray:
-    """Where chunks end; the first chunk's cut needs no 32 bytes before it."""
-    at = np.flatnonzero(gear(raw) >> np.uint32(32 - CUT_BITS) == 0) + 1
+    """Where chunks end; the first chunk's cut needs no WINDOW bytes before it."""
+    at = np.flatnonzero(gear(raw) << np.uint32(32 - WINDOW) >> np.uint32(32 - CUT_BITS) == 0) + 1
     return at if len(at) and at[-1] == len(raw) else np.append(at, len(raw))
 
 
@@ -58,9 +65,41 @@ def _counted(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "d1 long, n int").groupBy("d1").agg(F.sum("n").alias("n"))
 
 
+class _Text:
+    """Positions in raw: the words' begins and ends, and counts of words and code points begun before a byte."""
+
+    def __init__(self, raw: bytes):
+        buf = np.frombuffer(raw, np.uint8)
+        space = _space(buf)
+        self.begins = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        self.ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+        self.raw, self.buf = raw, buf
+
+    def words(self, at):
+        return np.searchsorted(self.begins, at)
+
+    def points(self, at: list[int]) -> np.ndarray:
+        return np.r_[0, np.cumsum((self.buf & 0xC0) != 0x80)][at]
+
+    def back(self, at, n: int):
+        """Where the last n words that begin before at begin; 0 if there are fewer."""
+        k = self.words(at) - n
+        return np.where(k >= 0, np.r_[self.begins, 0][np.maximum(k, 0)], 0)
+
+    def ahead(self, at, n: int):
+        """Where the first n words that begin from at on end; the text's end if there are fewer."""
+        k = self.words(at) + n - 1
+        return np.where(k < len(self.ends), np.r_[self.ends, 0][np.minimum(k, len(self.ends))], len(self.raw))
+
+
+def _space(buf: np.ndarray) -> np.ndarray:
+    return (buf == 32) | ((buf >= 9) & (buf <= 13))
+
+
 def _occurrences(docs: DataFrame, bits, text_col: str, id_col: str) -> DataFrame:
-    """A row for each chunk that the filter lets through: digest (two longs), place, and where in the text it stands."""
-    names = ["d1", "d2", "doc_id", "copy", "idx", "start", "end", "words"]
+    """A row for each chunk that the filter lets through: digest (two longs), place, and `sig`, which holds its words
+    and 16 bits each of a hash of the NEAR words before and after."""
+    names = ["d1", "d2", "doc_id", "copy", "idx", "sig"]
 
     def run(batches):
         for batch in slices(batches):
@@ -75,16 +114,15 @@ def _occurrences(docs: DataFrame, bits, text_col: str, id_col: str) -> DataFrame
                 at = np.flatnonzero(in_filter(bits.value, d))
                 if not len(at):
                     continue
-                buf = np.frombuffer(raw, np.uint8)
-                space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-                begins = np.cumsum(~space & np.r_[True, space[:-1]])
-                points = np.cumsum((buf & 0xC0) != 0x80)
+                text = _Text(raw)
                 a, b = np.array(starts)[at], np.array(ends)[at]
-                before = lambda c, i: np.where(i > 0, c[np.maximum(i, 1) - 1], 0)
                 copy = xxhash.xxh3_64_intdigest(raw)
                 d2 = [xxhash.xxh3_64_intdigest(raw[x:y], 77) for x, y in zip(a.tolist(), b.tolist())]
+                left = [xxhash.xxh3_64_intdigest(raw[x:y]) & 0xFFFF for x, y in zip(text.back(a, NEAR).tolist(), a.tolist())]
+                right = [xxhash.xxh3_64_intdigest(raw[x:y]) & 0xFFFF for x, y in zip(b.tolist(), text.ahead(b, NEAR).tolist())]
+                sig = (text.words(b) - text.words(a)) << 32 | np.array(left) << 16 | np.array(right)
                 null += [doc_id is None] * len(at)
-                for c, v in zip(cols, (d[at].view(np.int64), np.array(d2, np.uint64).view(np.int64), np.full(len(at), doc_id or 0), np.full(len(at), copy, np.uint64).view(np.int64), at, before(points, a), before(points, b), begins[b - 1] - before(begins, a))):
+                for c, v in zip(cols, (d[at].view(np.int64), np.array(d2, np.uint64).view(np.int64), np.full(len(at), doc_id or 0), np.full(len(at), copy, np.uint64).view(np.int64), at, sig)):
                     c.append(v)
             flat = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in cols]
             arrays = [pa.array(v) if n != "doc_id" else pa.array(v, mask=np.array(null, bool)) for n, v in zip(names, flat)]
@@ -94,43 +132,202 @@ def _occurrences(docs: DataFrame, bits, text_col: str, id_col: str) -> DataFrame
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each repeat: doc_id, span_start, span_end (code points), n_words, first_doc_id (where its largest chunk stands first), copy.
+_PIECE = ["doc_id", "copy", "n", "p", "q", "own", "first_doc_id", "first_copy", "first_p", "first_q"]
 
-    A-Z count as a-z. Null and empty texts have no chunks. Rows alike in doc_id and text are one document, so they
-    are no repeats of each other; `copy` tells rows apart that share a doc_id but not the text. A null doc_id
-    comes before all others. Other columns are ignored.
+
+def _pieces(per_doc: DataFrame, least_words: int) -> DataFrame:
+    """Runs of chunks p to q that may be repeats, each with where it stands first; first_p and first_q are null on a side that is not to be extended.
+
+    A run is cut where its first places are not in a row; each such segment is extended if the words beside it may
+    make up what it lacks. A side whose NEAR words differ adds no more than NEAR: nothing, if the run has them anyway.
     """
-    spark = docs.sparkSession
-    twice = _counted(docs, text_col).where("n > 1")
-    bits = spark.sparkContext.broadcast(bit_filter(twice, "d1"))
-    occ = written(_occurrences(docs, bits, text_col, id_col))
-    place = F.struct("doc_id", "copy", "idx")
-    first = occ.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    again = occ.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where(place != F.col("first"))
-    rows = again.select("doc_id", "copy", F.struct("idx", "start", "end", "words", F.col("first.doc_id").alias("first")).alias("c"))
-    per_doc = rows.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("c")).alias("chunks"))
 
     def run(batches):
         for batch in slices(batches, 256):
             out: list[tuple] = []
             for doc_id, copy, chunks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                i = 0
+                key, n, i = (doc_id, copy), 0, 0
+                # A run repeats other documents or its own: short chunks that stand everywhere don't join the two.
+                own = [(c["fd"], c["fc"]) == key for c in chunks]
                 while i < len(chunks):
-                    j, words = i, 0
-                    # A run repeats other documents or its own: short chunks that stand everywhere don't join the two.
-                    own = chunks[i]["first"] == doc_id
-                    while j < len(chunks) and chunks[j]["idx"] - chunks[i]["idx"] == j - i and (chunks[j]["first"] == doc_id) == own:
-                        words += chunks[j]["words"]
+                    j, segments = i, []
+                    while j < len(chunks) and chunks[j]["idx"] - chunks[i]["idx"] == j - i and own[j] == own[i]:
+                        c = chunks[j]
+                        line = (c["fd"], c["fc"], c["fi"] - c["idx"])
+                        if segments and segments[-1][0] == line:
+                            segments[-1][2] = j
+                        else:
+                            segments.append([line, j, j])
+                        j += 1
+                    words = sum(c["w"] >> 2 for c in chunks[i:j])
+                    found, passed = [], 0
+                    for line, a, b in segments:
+                        own_words = sum(c["w"] >> 2 for c in chunks[a:b + 1])
+                        has = words if a == i or b == j - 1 else own_words
+                        left = chunks[a]["w"] & 2 or passed < NEAR
+                        right = chunks[b]["w"] & 1 or words - passed - own_words < NEAR
+                        more = chunks[a]["w"] & 2 or chunks[b]["w"] & 1
+                        passed += own_words
+                        if (left or right) and (more or has + 2 * NEAR >= least_words):
+                            found.append((chunks[a]["idx"], chunks[b]["idx"], *line[:2], chunks[a]["fi"] if left else None, chunks[b]["fi"] if right else None))
+                    if len(segments) > 1 and (found or words >= least_words):
+                        most = max(chunks[i:j], key=lambda c: c["w"] >> 2)
+                        found.append((chunks[i]["idx"], chunks[j - 1]["idx"], most["fd"], most["fc"], None, None))
+                    for f in found:
+                        out.append((doc_id, copy, n, *f[:2], int(own[i]), *f[2:]))
+                        n += 1
+                    i = j
+            cols = list(zip(*out)) if out else [[]] * len(_PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_PIECE)
+
+    return per_doc.mapInArrow(run, ", ".join(f"{n} long" for n in _PIECE))
+
+
+def _places(docs: DataFrame, bits, least_words: int, text_col: str, id_col: str) -> DataFrame:
+    """A row for each start (place 2 * idx) and end (2 * idx + 1) of a chunk that the filter lets through: its byte, the
+    code points and words begun before it, and the bytes beside it.
+
+    `near` reaches over least_words words at least and on to a cut: to the left to the start of a chunk before and over
+    the window of its cut, to the right to a cut that any common text shares; one byte more lets words be counted.
+    """
+    names = ["doc_id", "copy", "place", "at", "point", "word", "near"]
+
+    def run(batches):
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw, ends = _chunks(t)
+                if not ends:
+                    continue
+                copy = xxhash.xxh3_64_intdigest(raw)
+                hit = np.flatnonzero(in_filter(bits.value, np.uint64(copy) ^ (np.arange(2 * len(ends), dtype=np.uint64) << np.uint64(37))))
+                if not len(hit):
+                    continue
+                text, starts = _Text(raw), [0, *ends[:-1]]
+                signed = int(np.uint64(copy).astype(np.int64))
+                at = [ends[h >> 1] if h & 1 else starts[h >> 1] for h in hit.tolist()]
+                back, ahead = text.back(np.array(at), least_words).tolist(), text.ahead(np.array(at), least_words).tolist()
+                for h, x, point, word, lo, hi in zip(hit.tolist(), at, text.points(at).tolist(), text.words(at).tolist(), back, ahead):
+                    i = h >> 1
+                    if h & 1:
+                        cut = bisect.bisect_left(ends, max(x + 1, starts[i] + WINDOW, hi))
+                        near = raw[x - 1:(ends[cut] if cut < len(ends) else len(raw)) + 1]
+                    else:
+                        before = bisect.bisect_right(starts, min(lo, starts[max(i - 1, 0)])) - 1
+                        near = raw[max(starts[before] - WINDOW - 1, 0):x]
+                    out.append((doc_id, signed, h, x, point, word, near))
+            cols = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "near" else pa.int64()) for n, c in zip(names, cols)], names=names)
+
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'near' else 'long'}" for n in names))
+
+
+def _alike(a: bytes, b: bytes, order: str) -> int:
+    """How many bytes a and b begin ("little") or end ("big") with alike."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    cut = slice(n) if order == "little" else slice(-n, None)
+    x = int.from_bytes(a[cut], order) ^ int.from_bytes(b[cut], order)
+    return (x & -x).bit_length() - 1 >> 3 if x else n
+
+
+def _begun(near: bytes, a: int, b: int) -> tuple[int, int]:
+    """(code points, words) that begin in near[a:b]; before near there is none, or a byte that ends a word."""
+    part = near[a:b]
+    points = b - a if part.isascii() else len(part) - sum(x & 0xC0 == 0x80 for x in part)
+    return points, len(part.split()) - (a > 0 and not near[a - 1:a].isspace() and not part[:1].isspace() and a < b)
+
+
+def _left(here: dict, there: dict | None) -> tuple[int, int, int]:
+    """(byte, code point, word) at which the text alike before two places begins."""
+    at, point, word, near = here["at"], here["point"], here["word"], here["near"]
+    if there is None:
+        return at, point, word
+    # The byte before is there to tell whether a word begins, unless the text does.
+    n = _alike(*(x["near"] if len(x["near"]) == x["at"] else x["near"][1:] for x in (here, there)), "big")
+    points, words = _begun(near, len(near) - n, len(near))
+    return at - n, point - points, word - words
+
+
+def _right(here: dict, there: dict | None) -> tuple[int, int, int]:
+    """(byte, code point, word) at which the text alike after two places ends."""
+    at, point, word, near = here["at"], here["point"], here["word"], here["near"]
+    if there is None:
+        return at, point, word
+    n = _alike(near[1:], there["near"][1:], "little")
+    while 0 < n < len(near) - 1 and near[n + 1] & 0xC0 == 0x80:
+        n -= 1
+    points, words = _begun(near, 1, n + 1)
+    return at + n, point + points, word + words
+
+
+def _joined_pieces(per_doc: DataFrame, least_words: int) -> DataFrame:
+    names = ["doc_id", "span_start", "span_end", "n_words", "first_doc_id", "copy", "first_copy"]
+
+    def run(batches):
+        for batch in slices(batches, 64):
+            out: list[tuple] = []
+            for doc_id, copy, ends in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sides: dict[int, dict[int, dict]] = {}
+                for e in ends:
+                    sides.setdefault(e["n"], {})[e["side"]] = e
+                found = []
+                for s in sides.values():
+                    a, b = _left(s[0], s.get(2)), _right(s[1], s.get(3))
+                    found.append((s[0]["own"], a, b, b[2] - a[2], s[0]["first_doc_id"], s[0]["first_copy"]))
+                found.sort(key=lambda x: (x[0], x[1], x[2]))
+                i = 0
+                while i < len(found):
+                    j, end, most = i, found[i][2], found[i]
+                    while j < len(found) and found[j][0] == found[i][0] and found[j][1] <= end:
+                        end, most = max(end, found[j][2]), max(most, found[j], key=lambda x: x[3])
                         j += 1
+                    words = end[2] - found[i][1][2]
                     if words >= least_words:
-                        source = max(chunks[i:j], key=lambda c: c["words"])["first"]
-                        out.append((doc_id, chunks[i]["start"], chunks[j - 1]["end"], words, source, copy))
+                        out.append((doc_id, found[i][1][1], end[1], words, most[4], copy, most[5]))
                     i = j
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "span_start", "span_end", "n_words", "first_doc_id", "copy"])
+            cols = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    return per_doc.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each repeat: doc_id, span_start, span_end (code points), n_words, first_doc_id (where its largest part stands first), copy, first_copy.
+
+    A-Z count as a-z. Null and empty texts have no chunks. Rows alike in doc_id and text are one document, so they
+    are no repeats of each other; `copy` tells rows apart that share a doc_id but not the text, and first_copy does
+    so for first_doc_id. A null doc_id comes before all others. Other columns are ignored. A repeat is found by a
+    chunk that lies wholly in it.
+    """
+    spark = docs.sparkSession
+    twice = _counted(docs, text_col).where("n > 1")
+    bits = spark.sparkContext.broadcast(bit_filter(twice, "d1"))
+    occ = written(_occurrences(docs, bits, text_col, id_col))
+    place = F.struct("doc_id", "copy", "idx")
+    first = occ.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "copy", "idx", "sig")).alias("first"), F.max(place).alias("last")).where("struct(first.doc_id, first.copy, first.idx) <> last")
+    again = occ.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("struct(doc_id, copy, idx) <> struct(first.doc_id, first.copy, first.idx)")
+    differ = F.col("sig").bitwiseXOR(F.col("first.sig"))
+    same = F.when(differ.bitwiseAND(0xFFFF0000) == 0, 2).otherwise(0) + F.when(differ.bitwiseAND(0xFFFF) == 0, 1).otherwise(0)
+    w = F.shiftleft(F.shiftright("sig", 32), 2) + same
+    rows = again.select("doc_id", "copy", F.struct("idx", w.alias("w"), F.col("first.doc_id").alias("fd"), F.col("first.copy").alias("fc"), F.col("first.idx").alias("fi")).alias("c"))
+    per_doc = rows.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("c")).alias("chunks"))
+    pieces = written(_pieces(per_doc, least_words))
+
+    def end(side: int, doc: str, copy: str, at: str, there: str) -> Column:
+        return F.struct(F.lit(side).cast("long").alias("side"), F.col(doc).alias("d"), F.col(copy).alias("c"), F.expr(at).alias("place"), F.col(there).isNotNull().alias("extend"))
 
-    return per_doc.mapInArrow(run, "doc_id long, span_start long, span_end long, n_words long, first_doc_id long, copy long")
+    there = ("first_doc_id", "first_copy")
+    ends = F.array(end(0, "doc_id", "copy", "2 * p", "first_p"), end(1, "doc_id", "copy", "2 * q + 1", "first_q"), end(2, *there, "2 * first_p", "first_p"), end(3, *there, "2 * first_q + 1", "first_q"))
+    asked = pieces.select("doc_id", "copy", "n", "own", *there, F.explode(ends).alias("e")).where("e.place is not null")
+    asked = asked.select("doc_id", "copy", "n", "own", *there, "e.*")
+    bits3 = spark.sparkContext.broadcast(bit_filter(asked.select(F.col("c").bitwiseXOR(F.shiftleft("place", 37)).alias("h")), "h"))
+    at = _places(docs, bits3, least_words, text_col, id_col).select(F.col("doc_id").alias("pd"), F.col("copy").alias("pc"), F.col("place").alias("pp"), "at", "point", "word", "near")
+    met = asked.join(at, F.col("d").eqNullSafe(F.col("pd")) & (F.col("c") == F.col("pc")) & (F.col("place") == F.col("pp")))
+    sides = met.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("n", "side", "own", *there, "at", "point", "word", F.when(F.col("extend"), F.col("near")).alias("near"))).alias("ends"))
+    return _joined_pieces(sides, least_words)
 
 
 def without_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
@@ -144,7 +341,7 @@ def without_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
                 at, kept = 0, []
                 for x in s:
                     kept.append(t[at:x["span_start"]])
-                    at = x["span_end"]
+                    at = max(at, x["span_end"])
                 t = "".join([*kept, t[at:]])
             out.append(t)
         return out
@@ -175,4 +372,4 @@ def _with_copy(batches):
 
 def op7(spark, sf_dir: str) -> DataFrame:
     found = repeats(read_table(spark, sf_dir, "documents"))
-    return found.where("first_doc_id <> doc_id").drop("copy")
+    return found.where("first_doc_id <> doc_id").drop("copy", "first_copy")

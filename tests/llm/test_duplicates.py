@@ -177,6 +177,24 @@ def test_repeats(spark, docs_of):
     assert chunkdedup.repeats(docs_of([])).count() == 0 and chunkdedup.without_repeats(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [30, 51])
+def test_planted_passages(spark, docs_of, n):
+    """Passages of n words in two documents each are found whole, whatever the chunks; the parts beside them are not."""
+    r = random.Random(n)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnopé") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    rows, planted = [], {}
+    for i in range(300):
+        passage = words(n)
+        planted[2 * i + 1] = passage
+        rows += [(2 * i + k, f"{words(40)} {passage} {words(40)}") for k in (0, 1)]
+    text = dict(rows)
+    found = {x["doc_id"]: x for x in chunkdedup.repeats(docs_of(rows)).collect()}
+    assert set(found) <= set(planted) and len(found) >= {30: 285, 51: 299}[n]
+    for i, x in found.items():
+        assert planted[i] in text[i][x["span_start"]:x["span_end"]] and x["span_end"] - x["span_start"] <= len(planted[i]) + 8
+        assert n <= x["n_words"] <= n + 1 and x["first_doc_id"] == i - 1
+
+
 def test_large_buckets(spark, docs_of, monkeypatch):
     """Many documents that are alike but not linked, in buckets that are split by a second band."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
