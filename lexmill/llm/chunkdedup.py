@@ -372,4 +372,4 @@ def _with_copy(batches):
 
 def op7(spark, sf_dir: str) -> DataFrame:
     found = repeats(read_table(spark, sf_dir, "documents"))
-    return found.where("first_doc_id <> doc_id").drop("copy", "first_copy")
+    return found.where("not (first_doc_id <=> doc_id and first_copy = copy)").drop("copy", "first_copy")

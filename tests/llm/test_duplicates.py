@@ -195,6 +195,19 @@ def test_planted_passages(spark, docs_of, n):
         assert n <= x["n_words"] <= n + 1 and x["first_doc_id"] == i - 1
 
 
+def test_op7(spark, docs_of, tmp_path):
+    """Repeats of rows with a null doc_id, and of rows that share a doc_id but not the text, are repeats of others."""
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    p, q = words(80), words(80)
+    rows = [(None, f"{words(30)} {p} {words(30)}"), (None, f"{words(20)} {p}"), (7, f"{p} {words(30)}"), (8, f"{words(10)} {p}")]
+    rows += [(5, f"{q} {words(30)}"), *[(5, f"{words(30)} {q} {words(9)}")] * 2]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = chunkdedup.op7(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"] or 0, x["first_doc_id"] or 0) for x in found) == [(0, 0), (5, 5), (7, 0), (8, 0)]
+    assert all(80 <= x["n_words"] <= 81 for x in found)
+
+
 def test_large_buckets(spark, docs_of, monkeypatch):
     """Many documents that are alike but not linked, in buckets that are split by a second band."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
