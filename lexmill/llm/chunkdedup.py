@@ -371,5 +371,6 @@ def _with_copy(batches):
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """All repeats; `own` is true where a document repeats itself, false where it repeats another."""
     found = repeats(read_table(spark, sf_dir, "documents"))
-    return found.where("not (first_doc_id <=> doc_id and first_copy = copy)").drop("copy", "first_copy")
+    return found.withColumn("own", F.expr("first_doc_id <=> doc_id and first_copy = copy")).drop("copy", "first_copy")

@@ -208,6 +208,16 @@ def test_op7(spark, docs_of, tmp_path):
     assert all(80 <= x["n_words"] <= 81 for x in found)
 
 
+def test_op7_own_repeats(spark, docs_of, tmp_path):
+    r = random.Random(22)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    p, q = words(80), words(80)
+    rows = [(i, f"{words(30)} {p} {words(30)} {p} {words(9)}") for i in (None, 4)] + [(i, f"{words(9)} {q} {words(9)}") for i in (5, 6)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = chunkdedup.op7(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"] or 0, x["first_doc_id"] or 0, x["own"]) for x in found) == [(0, 0, True), (4, 0, False), (4, 0, False), (6, 5, False)]
+
+
 def test_large_buckets(spark, docs_of, monkeypatch):
     """Many documents that are alike but not linked, in buckets that are split by a second band."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
