@@ -39,7 +39,8 @@ def _scored(text: Column, kind: str, spans: Column) -> Column:
 
     def one(s: Column) -> Column:
         before = F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int"))
-        score = F.when(F.regexp_like(before, F.lit(words)), F.lit(min(1.0, base + RAISE))).otherwise(F.lit(base))
+        after = F.substr(text, s["end"].cast("int") + 1, F.lit(CONTEXT))
+        score = F.when(F.regexp_like(before, F.lit(words)) | F.regexp_like(after, F.lit(words)), F.lit(min(1.0, base + RAISE))).otherwise(F.lit(base))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
 
     return F.transform(spans, one)
