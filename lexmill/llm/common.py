@@ -63,6 +63,33 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(i, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """(key, rows) of each run of rows alike in the first `keys` columns, whole numbers without nulls, of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(int(c[a]) for c in cols)
+            if held and key != last:
+                yield last, whole()
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, whole()
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all words once it holds `most`."""
 

@@ -58,6 +58,7 @@ def test_near_duplicates(spark, docs_of, k):
 def test_blocks_and_chains(spark, docs_of, monkeypatch):
     """A chain whose ends are far apart, in buckets larger than a block."""
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "GROUP", 3)
     r = random.Random(2)
     w = [f"a{i}" for i in range(150)]
     rows = []
@@ -72,21 +73,31 @@ def test_blocks_and_chains(spark, docs_of, monkeypatch):
 
 def test_deduplicated(spark, docs_of):
     rows = [(5, "one two three four five six"), (3, "ONE two three four five six"), (8, "other words stand here today now"), (8, "other words stand here today now"), (9, None), (10, ""), (None, "one two three four five six"), (None, None)]
+    # Rows that share a doc_id, or have none, are near-duplicates of each other all the same.
+    rows += [(20, "a first text of seven words here"), (20, "A first text of seven words here"), (None, "nobody names the row of this text"), (None, "nobody NAMES the row of this text")]
     docs = docs_of(rows).withColumns({c: F.lit("mine") for c in ("kept", "component_id", "node", "copy", "h", "a")})
     out = minhash.deduplicated(docs)
     assert out.columns == docs.columns
-    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == [(-1, ""), (-1, rows[0][1]), (3, rows[1][1]), (8, rows[2][1]), (9, ""), (10, "")]
+    got = sorted((r["doc_id"] or -1, (r["text"] or "").lower()) for r in out.collect())
+    assert got == [(-1, ""), (-1, rows[10][1]), (3, rows[0][1]), (8, rows[2][1]), (9, ""), (10, ""), (20, rows[8][1])]
     assert minhash.near_duplicates(docs_of([])).count() == 0 and minhash.deduplicated(docs_of([])).count() == 0
 
 
 def test_bayes():
     least = dict(minhash.fewest_matches(0.8, 1e-6))
     assert least[200] < 150 and all(0 < m / n < 0.8 for n, m in least.items())
-    a = np.zeros((3, 200), np.uint32)
-    b = a.copy()
-    b[1, ::10] = 1
-    b[2, ::2] = 1
-    assert minhash.survives(a, b, list(least.items())).tolist() == [True, True, False]
+    a = np.zeros((4, 200), np.uint8)
+    a[1, ::10] = 1
+    a[2, ::2] = 1
+    i, j, m = minhash.survivors(a, np.ones((4, 4), bool), list(least.items()))
+    assert list(zip(i.tolist(), j.tolist(), m.tolist())) == [(0, 1, 180), (0, 3, 200), (1, 3, 180)]
+    # The dense way, for more rows, gives what the sparse one gives.
+    r = np.random.default_rng(1)
+    base = r.integers(0, 256, 200, dtype=np.uint8)
+    many = np.where(r.random((150, 200)) < r.random((150, 1)) * 0.4, r.integers(0, 256, (150, 200), dtype=np.uint8), base)
+    got = list(zip(*(x.tolist() for x in minhash.survivors(many, np.ones((150, 150), bool), list(least.items())))))
+    match = (many[:, None] == many[None]).cumsum(2)
+    assert got == [(x, y, int(match[x, y, -1])) for x in range(150) for y in range(x + 1, 150) if all(match[x, y, n - 1] >= need for n, need in least.items())]
 
 
 def test_components(spark):
@@ -219,9 +230,10 @@ def test_op7_own_repeats(spark, docs_of, tmp_path):
 
 
 def test_large_buckets(spark, docs_of, monkeypatch):
-    """Many documents that are alike but not linked, in buckets that are split by a second band."""
+    """Many documents that are alike but not all linked, in buckets of many blocks and groups of many parts."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "SPLIT", 12)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "GROUP", 5)
     r = random.Random(12)
     base = [f"a{i}" for i in range(200)]
     rows = []
