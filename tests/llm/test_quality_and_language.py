@@ -1,5 +1,7 @@
+import itertools
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexmill.llm import langid, quality
@@ -79,18 +81,60 @@ def test_nothing_to_learn(docs_of):
     model = langid.fit(empty)
     assert langid.languages(empty, model).count() == 0
     assert [(r["lang_pred"], r["lang_score"]) for r in langid.languages(docs_of([(1, "word")]), model).collect()] == [("und", 0.0)]
-    assert langid.accepted(docs_of([(1, "word")]), model).count() == 1
+    assert [r["doc_id"] for r in langid.accepted(docs_of([(1, "word"), (2, None), (3, ""), (4, "12 .")]), model).collect()] == [1]
+    assert langid.spans(["word"], model) == [[]]
 
 
 def test_transitions_follow_switches():
     model = langid.train([(t, lang) for _, t, lang in sample(150)])
     lang, _ = langid.label([EN + " " + FR, FR], model)
     assert lang[1] == "fr" and (model.moves.diagonal() > 0).all()
-    words = langid.words_of(EN + " " + FR)
-    e = model.emissions(words)[:langid.CHAIN]
-    import numpy as np
-
-    post = langid._smooth(e[None].astype(np.float32), np.ones((1, len(e)), bool), model.moves)[0].argmax(1)
+    _, post = langid.word_posteriors([EN + " " + FR], model)
+    post = post.argmax(1)
     en, fr = model.langs.index("en"), model.langs.index("fr")
     n = len(langid.words_of(EN))
     assert (post[:n] == en).mean() > 0.9 and (post[n:] == fr).mean() > 0.9
+    found = langid.spans([None, EN + " " + FR], model)
+    assert found[0] == [] and {x[0] for x in found[1]} >= {"en", "fr"} and sum(x[2] for x in found[1]) == len(post)
+
+
+def brute_posteriors(e, moves):
+    """By all paths of labels."""
+    t, k = e.shape
+    out, total = np.zeros((t, k)), 0.0
+    for path in itertools.product(range(k), repeat=t):
+        w = np.exp(sum(e[i, x] for i, x in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+        total += w
+        for i, x in enumerate(path):
+            out[i, x] += w
+    return out / total
+
+
+def test_forward_backward_against_all_paths(monkeypatch):
+    r = np.random.default_rng(5)
+    moves = r.normal(0, 1.5, (3, 3))
+    lengths = [1, 2, 5, 7]
+    e = r.normal(0, 2, (4, 7, 3))
+    mask = np.arange(7) < np.array(lengths)[:, None]
+    post, pair = langid._forward_backward(e, mask, moves)
+    smooth = langid._smooth(e.astype(np.float32), mask, moves)
+    for i, n in enumerate(lengths):
+        want = brute_posteriors(e[i, :n], moves)
+        assert np.allclose(post[i, :n], want, atol=1e-4) and np.allclose(smooth[i, :n], want, atol=1e-4)
+    assert abs(pair.sum() - sum(n - 1 for n in lengths)) < 1e-3
+
+
+def test_values_are_carried_over_chains(monkeypatch):
+    """Texts of many chains are labelled as by one chain over the whole text, but for what CONTEXT words can't tell."""
+    model = langid.train([(t, lang) for _, t, lang in sample(90)])
+    text = " ".join([EN, FR, DE] * 30)
+    words = langid.words_of(text)
+    whole = langid._smooth(model.emissions(words)[None].astype(np.float32), np.ones((1, len(words)), bool), model.moves)[0]
+    _, post = langid.word_posteriors(["", text, EN], model)
+    assert np.abs(post[:len(words)] - whole).max() < 1e-3
+
+
+def test_pieces_are_from_all_over_a_text():
+    w = [f"a{'b' * (i % 7)}" for i in range(5000)]
+    pieces = langid.pieces_of(" ".join(w[:4000]) + " " + "zulu " * 1000)
+    assert len(pieces) == langid.PIECES_PER_DOC and "zulu" in pieces[-1] and len(langid.pieces_of("one two")) == 1
