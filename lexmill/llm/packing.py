@@ -1,7 +1,7 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 A document's token ids and an end id are cut into pieces of at most `capacity`; only the first piece of a
-document may be shorter. Pieces go by hash to shards of about 4,096. A shard's lengths are packed on several
+document may be shorter. Pieces go by number to shards of about 4,096. A shard's lengths are packed on several
 islands: a population starts from best-fit decreasing and randomised best fits; a crossover injects whole
 well-filled bins of one parent into the other, removes the bins that hold duplicates, and best-fits the
 displaced pieces; a mutation empties some of the least filled bins. Between rounds each island's elite moves
@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.llm.common import read_table, slices, tokenizer_path, written
 from lexmill.llm.encoding import encoder
@@ -181,11 +182,11 @@ def _solved(rows: DataFrame, capacity: int) -> DataFrame:
     return islands.groupBy("shard").agg(F.min_by(F.col("population")[0], F.struct("n", "island")).alias("best"))
 
 
-def _place(level: int, last: bool, order: list[str], capacity: int):
+def _place(level: int, last: bool, capacity: int):
     """The function that gives a shard's rows their sequences; at all levels but the last, -1 for those to be pooled."""
 
     def place(key, rows: pa.Table, sol: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order]))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("length", "ascending"), ("id", "ascending")]))
         of = np.frombuffer(sol.column("best")[0].as_py(), np.int32).astype(np.int64)
         length = rows.column("length").to_numpy()
         by = np.argsort(of, kind="stable")
@@ -205,26 +206,26 @@ def _place(level: int, last: bool, order: list[str], capacity: int):
 
 
 def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
-    """rows, which have a length from 1 to capacity, with sequence_id and offset (gapless from 0); other columns stay as they are.
+    """rows, which have a length from 1 to capacity, with sequence_id and offset (gapless from 0).
 
-    Each row is put once. An empty table gives an empty result.
+    Other columns stay as they are, whatever their names; columns of rows named sequence_id or offset are replaced.
+    Each row is put once, repeated ones too: shards are drawn by a number that every row gets as it is written, so
+    they are alike in size even where all rows are the same. An empty table gives an empty result.
     """
-    columns = rows.columns
-    rows = written(rows)
+    rows = rows.drop("sequence_id", "offset")
+    rows = written(rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("id")))
     n = rows.where(F.col("length") < capacity).count()
     shards = max(1, -(-n // SHARD))
     # A piece that fills a sequence is one by itself.
-    full = rows.where(F.col("length") >= capacity).select(*columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo = rows.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece", "start", "length") if c in columns]), F.lit(shards)).cast("long"))
+    full = rows.where(F.col("length") >= capacity).select("row", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    todo = rows.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
     done, level = [full], 0
     while True:
         level += 1
         best, last = _solved(todo, capacity), shards == 1
-        out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema) + ", sequence_id long, offset long"
-        order = [c for c in ("length", "doc_id", "piece", "start") if c in columns]
-
-        placed = written(todo.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_place(level, last, order, capacity), out_schema))
-        done.append(placed.where("sequence_id >= 0").select(*columns, "sequence_id", "offset"))
+        schema = StructType([*todo.schema.fields]).add("sequence_id", "long").add("offset", "long")
+        placed = written(todo.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_place(level, last, capacity), schema))
+        done.append(placed.where("sequence_id >= 0").select("row", "sequence_id", "offset"))
         if last:
             break
         shards = -(-shards // POOL)
@@ -232,17 +233,18 @@ def pack(rows: DataFrame, capacity: int = 2048) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and on demand its ids (array).
 
     Null and empty texts have the end id alone; null and repeated doc_ids are packed as any other row; other
-    columns of docs are ignored; ties of length are broken by doc_id and piece.
+    columns of docs are ignored; of pieces of one length, any may take the place of any other. Texts may have any length.
     """
     return pack(pieces(docs, path, capacity, end_id, with_ids), capacity)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens; for null, empty, repeated and long texts see pack_documents()."""
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
