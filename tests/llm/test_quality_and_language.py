@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -8,9 +9,9 @@ from lexmill.llm import langid, quality
 
 
 def test_measures():
-    assert quality.measures(None) == quality.measures("") == (0, 0, 0, 0, 0)
-    assert quality.measures("# <> \n") == (2, 3, 3, 0, 0)
-    assert quality.measures("é b\n\né b\n é b\né b") == (8, 8, 0, 2, 0)
+    assert quality.measures(None) == quality.measures("") == (0, 0, 0, 0, 0, 0)
+    assert quality.measures("# <> \n") == (2, 3, 3, 0, 0, 1)
+    assert quality.measures("é b\n\né b\n é b\né b") == (8, 8, 0, 2, 0, 4)
     eight = " ".join("abcdefgh")
     assert quality.measures(f"{eight} x {eight}")[4] == 16
     assert quality.measures("y " * 9)[4] == 9 and quality.measures("y " * 8)[4] == 0
@@ -39,13 +40,35 @@ def test_hosts(docs_of):
     assert all(out[i, 30]["kept"] for i in range(60))
     assert not any(out[100 + i, 30]["kept"] for i in range(0, 60, 10))  # good documents of a bad host
     assert out[301, 30]["kept"] and not out[300, 1]["kept"] and out[302, 30]["kept"] and not out[None, 0]["kept"]
-    assert 0 < out[301, 30]["host_rate"] < 1
+    assert 0 < out[301, 30]["host_rates"]["words"] < 1 and out[0, 30]["host_rates"]["symbols"] < 1e-3
     assert quality.quality(docs_of(rows)).count() == len(rows)
     assert quality.quality(docs_of([])).count() == 0
     one = quality.quality(docs_of([(1, good), (2, good)])).collect()
     assert all(r["kept"] for r in one)
 
 
+def test_hosts_by_sql(spark, docs_of, tmp_path):
+    """Hosts given to symbols and to repeated lines lose documents that pass by themselves, in SQL as well."""
+    import duckdb
+
+    r = random.Random(9)
+    good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8))) for _ in range(40))
+    kinds = {"clean": good, "symbols": lambda: good() + " ##### <<< $$$", "lines": lambda: "\n".join([*good().split()[:12] * 2, good()]), "short": lambda: "too short"}
+    rows = [(i, (kinds[h] if r.random() < 0.9 else good)(), "en", h) for i, h in enumerate(h for h in kinds for _ in range(60))]
+    rows += [(1000 + i, good(), "en", f"clean{i % 9}") for i in range(200)] + [(2000, None, None, None), (2001, "# # #", "en", None), (2002, kinds["symbols"](), "en", "one")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = quality.op10(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"select {', '.join(got.columns)} from ({quality.ORACLE})").fetchall()
+    found = [tuple(x) for x in got.collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    host = {i: h for i, _, _, h in rows}
+    by = {x["doc_id"]: x for x in got.collect()}
+    assert {host[i] for i, x in by.items() if x["host_failed"]} == {"symbols", "lines", "short"}
+    assert sum(not x["base_failed"] and not x["kept"] for x in by.values()) >= 60 and by[2002]["kept"]
+
+
 EN = "the house and the garden were with their people when this was all that they had been thinking about"
 FR = "les enfants étaient dans le jardin avec leurs parents quand nous avons été chez eux pour la fête"
 DE = "die kinder waren nicht im garten und wir haben über das schöne wetter mit den nachbarn gesprochen"
