@@ -31,8 +31,8 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def _windows(items: DataFrame, size: int) -> DataFrame:
-    """(window, n, item_ids) of the distinct windows; a null item_id counts as an item named ''."""
+def _windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(window, wid) of the distinct windows, and (wid, item_id) of the items that hold them; a null item_id counts as an item named ''."""
 
     def run(batches):
         for batch in slices(batches):
@@ -44,12 +44,13 @@ def _windows(items: DataFrame, size: int) -> DataFrame:
                     ids.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], names=["item_id", "window"])
 
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string")).mapInArrow(run, "item_id string, window binary")
-    return rows.groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string")).mapInArrow(run, "item_id string, window binary").distinct()
+    windows = written(rows.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    return windows, written(rows.join(windows, "window").select("wid", "item_id"))
 
 
 def _shingles(windows: DataFrame) -> DataFrame:
-    """(window, item_ids, n, shingle, at): every shingle of every window with its place; of SHINGLE words, or all of a shorter window."""
+    """(window, wid, n, shingle, at): every shingle of every window with its place; of SHINGLE words, or all of a shorter window."""
 
     def run(batches):
         words = WordHashes()
@@ -63,9 +64,9 @@ def _shingles(windows: DataFrame) -> DataFrame:
                 at += range(len(s))
                 sh.append(s.view(np.int64))
             row = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(np.concatenate(sh) if sh else [], pa.int64()), pa.array(at, pa.int32())], names=["window", "item_ids", "n", "shingle", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(np.concatenate(sh) if sh else [], pa.int64()), pa.array(at, pa.int32())], names=["window", "wid", "n", "shingle", "at"])
 
-    return windows.mapInArrow(run, "window binary, item_ids array<string>, n int, shingle long, at int")
+    return windows.mapInArrow(run, "window binary, wid long, n int, shingle long, at int")
 
 
 def _frequencies(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
@@ -128,15 +129,15 @@ def _verified(rows: DataFrame) -> DataFrame:
             start = []
             cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("window", "n", "at", "pos", "first", "around")]
             for window, n, at, pos, first, around in zip(*cols):
-                if window is None or pos - at < first:
+                if pos - at < first:
                     start.append(None)
                     continue
                 w = around.split(b" ")[pos - at - first:pos - at - first + n]
                 start.append(pos - at if b" ".join(w) == window else None)
-            keep = [batch.column(batch.schema.names.index(c)) for c in ("doc_id", "copy", "n_words", "base", "n", "item_ids")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(start, pa.int32())], names=["doc_id", "copy", "n_words", "base", "n", "item_ids", "start"])
+            keep = [batch.column(batch.schema.names.index(c)) for c in ("doc_id", "copy", "n_words", "base", "n", "wid")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(start, pa.int32())], names=["doc_id", "copy", "n_words", "base", "n", "wid", "start"])
 
-    return rows.mapInArrow(run, "doc_id long, copy binary, n_words long, base boolean, n int, item_ids array<string>, start int")
+    return rows.mapInArrow(run, "doc_id long, copy binary, n_words long, base boolean, n int, wid long, start int").where("start is not null")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -144,27 +145,33 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
     Null or empty texts have no words and no hits; so have all documents if there are no items. Rows alike in
     doc_id and text each get their result; rows that share a doc_id, null too, but not the text get their own.
-    Items that repeat count once by item_id; a null item_id counts as ''. Other columns are ignored.
+    Items that repeat count once by item_id; a null item_id counts as ''. Other columns are ignored. Texts may have
+    any length: only places of rare shingles leave their task. An empty table gives an empty result.
     """
-    windows = written(_shingles(_windows(items, size)))
+    named, holders = _windows(items, size)
+    windows = written(_shingles(named))
     sizes = sorted({min(SHINGLE, r["n"]) for r in windows.select("n").distinct().collect()})  # at most `size` rows
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(bit_filter(windows, "shingle"))
     often = _frequencies(docs, bits, sizes)
-    ranked = windows.join(often.withColumnRenamed("n", "often"), "shingle", "left").select("window", "item_ids", "n", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "shingle", "at").alias("rank"))
-    rarest = written(ranked.groupBy("window").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("item_ids").alias("item_ids")).select("window", "n", "item_ids", F.col("rank.shingle").alias("shingle"), F.col("rank.at").alias("at")))
+    ranked = windows.join(often.withColumnRenamed("n", "often"), "shingle", "left").select("wid", "window", "n", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "shingle", "at").alias("rank"))
+    rarest = written(ranked.groupBy("wid").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("window").alias("window")).select("wid", "window", "n", F.col("rank.shingle").alias("shingle"), F.col("rank.at").alias("at")))
     # A shingle that stands in no document needs no place in the second filter either, but costs nothing there.
     bits2 = spark.sparkContext.broadcast(bit_filter(rarest, "shingle"))
-    places = _places(docs, bits2, sizes, size).withColumn("salt", F.when(F.col("base"), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALT)).cast("int")))
-    salted = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    hits = places.join(salted, ["shingle", "salt"], "left")
-    found = _verified(hits.select("doc_id", "copy", "n_words", "base", "n", "at", "pos", "first", "around", "window", "item_ids")).where("base or start is not null")
-    per_doc = found.groupBy("doc_id", "copy", "n_words").agg(
+    places = written(_places(docs, bits2, sizes, size))
+    # Documents' own rows meet no window, so they stay out of the join.
+    hits = places.where("not base").withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy", "pos"), F.lit(SALT)).cast("int"))
+    hits = _verified(hits.join(rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["shingle", "salt"]))
+    own = places.where("base").select("doc_id", "copy", "n_words", "base", F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("wid"), F.lit(None).cast("int").alias("start"))
+    per_doc = written(own.unionByName(hits).groupBy("doc_id", "copy", "n_words").agg(
         F.sum(F.col("base").cast("int")).alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.col("n")).cast("int").alias("end"))))).alias("raw"),
-        F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"),
-    )
-    merged = per_doc.select("doc_id", F.lower(F.hex("copy")).alias("copy"), "n_words", "copies", _merge("raw").alias("spans"), F.array_sort("items").alias("items"))
+        F.collect_set("wid").alias("wids"),
+    ))
+    key = ["doc_id", "copy", "n_words", "copies", "raw"]
+    dirty = per_doc.where("size(wids) > 0").select(*key, F.explode("wids").alias("wid")).join(holders, "wid").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    every = per_doc.where("size(wids) = 0").select(*key, F.expr("cast(array() as array<string>)").alias("items")).unionByName(dirty)
+    merged = every.select("doc_id", F.lower(F.hex("copy")).alias("copy"), "n_words", "copies", _merge("raw").alias("spans"), "items")
     return merged.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 
@@ -196,6 +203,7 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items; for null, empty, repeated and long texts see contamination()."""
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
