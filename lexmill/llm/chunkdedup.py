@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.llm.common import bit_filter, in_filter, read_table, slices, written
 
@@ -300,7 +301,7 @@ def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text
     A-Z count as a-z. Null and empty texts have no chunks. Rows alike in doc_id and text are one document, so they
     are no repeats of each other; `copy` tells rows apart that share a doc_id but not the text, and first_copy does
     so for first_doc_id. A null doc_id comes before all others. Other columns are ignored. A repeat is found by a
-    chunk that lies wholly in it.
+    chunk that lies wholly in it. An empty table gives an empty result; a text may have any length, as its chunks do.
     """
     spark = docs.sparkSession
     twice = _counted(docs, text_col).where("n > 1")
@@ -331,43 +332,37 @@ def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text
 
 
 def without_repeats(docs: DataFrame, least_words: int = 20) -> DataFrame:
-    """docs with all repeats cut out of text; a null text stays null. Rows that share a null doc_id keep their text."""
-    spans = repeats(docs, least_words).where("doc_id is not null").groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("cut"))
-
-    def cut(texts, spans_):
-        out = []
-        for t, s in zip(texts, spans_):
-            if t is not None and s is not None:
-                at, kept = 0, []
-                for x in s:
-                    kept.append(t[at:x["span_start"]])
-                    at = max(at, x["span_end"])
-                t = "".join([*kept, t[at:]])
-            out.append(t)
-        return out
-
-    names = docs.columns
-    marked = docs.mapInArrow(lambda batches: _with_copy(batches), _schema(docs) + ", `__copy` long")
-    joined = marked.join(spans.select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__c"), "cut"), (F.col("doc_id") == F.col("__doc")) & (F.col("__copy") == F.col("__c")), "left").select(*names, "cut")
+    """docs with all repeats cut out of text; a null text stays null. Rows that share a null doc_id keep their text; other columns stay as they are, whatever their names."""
+    spans = repeats(docs, least_words).where("doc_id is not null").groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("spans"))
+
+    def cut(t: str | None, spans: list | None) -> str | None:
+        if t is None or spans is None:
+            return t
+        at, kept = 0, []
+        for x in spans:
+            kept.append(t[at:x["span_start"]])
+            at = max(at, x["span_end"])
+        return "".join([*kept, t[at:]])
+
+    def marked(batches):
+        for batch in slices(batches):
+            texts = batch.column(2).to_pylist()
+            copy = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass").lower()) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy.view(np.int64))], names=["row", "id", "text", "copy"])
 
     def run(batches):
         for batch in slices(batches):
-            i = batch.schema.names.index("text")
-            text = pa.array(cut(batch.column(i).to_pylist(), batch.column(len(names)).to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays([text if k == i else batch.column(k) for k in range(len(names))], names=names)
-
-    return joined.mapInArrow(run, docs.schema)
+            text = pa.array(list(map(cut, batch.column(1).to_pylist(), batch.column(2).to_pylist())), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["row", "text"])
 
-
-def _schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-
-def _with_copy(batches):
-    for batch in slices(batches):
-        texts = batch.column(batch.schema.names.index("text")).to_pylist()
-        copy = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass").lower()) for t in texts], np.uint64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy.view(np.int64))], names=[*batch.schema.names, "__copy"])
+    names = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in names if c != "text"))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType
+    rows = rows.mapInArrow(marked, StructType([*rows.schema.fields]).add("copy", "long"))
+    rows = rows.join(spans.withColumnsRenamed({"doc_id": "span_id", "copy": "span_copy"}), (F.col("id") == F.col("span_id")) & (F.col("copy") == F.col("span_copy")), "left")
+    rows = rows.select("row", "text", "spans").mapInArrow(run, StructType().add("row", kind).add("text", "string"))
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

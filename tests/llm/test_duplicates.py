@@ -182,7 +182,9 @@ def test_repeats(spark, docs_of):
     for x in found:
         part = text[x["doc_id"]][x["span_start"]:x["span_end"]]
         assert part in shared and x["first_doc_id"] is None and x["n_words"] > 90
-    out = chunkdedup.without_repeats(docs_of(rows[:3]))
+    mine = ("cut", "__copy", "__doc", "copy", "row", "id", "spans", "a.b")
+    out = chunkdedup.without_repeats(docs_of(rows[:3]).withColumns({c: F.lit(7) for c in mine}))
+    assert out.columns == [*docs_of(rows[:3]).columns, *mine] and all(x[c] == 7 for x in out.collect() for c in mine)
     kept = {x["doc_id"]: len(x["text"]) for x in out.collect()}
     assert kept[4] == len(text[4]) and kept[9] < len(text[9]) - 0.7 * len(shared)
     assert chunkdedup.repeats(docs_of([])).count() == 0 and chunkdedup.without_repeats(docs_of([])).count() == 0
@@ -206,6 +208,50 @@ def test_planted_passages(spark, docs_of, n):
         assert n <= x["n_words"] <= n + 1 and x["first_doc_id"] == i - 1
 
 
+def test_repeats_against_all_pairs_of_positions(spark, docs_of):
+    """What is found stands elsewhere word for word, and whatever stands elsewhere for 50 words or more is found."""
+    r = random.Random(77)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    pool = [[word() for _ in range(90)] for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        w = []
+        for _ in range(r.randrange(1, 5)):
+            p = r.choice(pool)
+            a = r.randrange(60)
+            w += [word() for _ in range(r.randrange(30))] + p[a:a + r.randrange(5, 91)]
+        docs.append(w)
+    # Of each word the longest run through it that stands elsewhere, in an earlier document or at any other place of its own.
+    begins: dict[str, list[tuple[int, int]]] = {}
+    for d, w in enumerate(docs):
+        for i, x in enumerate(w):
+            begins.setdefault(x, []).append((d, i))
+    longest = [[0] * len(w) for w in docs]
+    for at in begins.values():
+        for d, i in at:
+            for e, j in at:
+                if (e, j) != (d, i) and e <= d and (i == 0 or j == 0 or docs[d][i - 1] != docs[e][j - 1]):
+                    n = 0
+                    while i + n < len(docs[d]) and j + n < len(docs[e]) and docs[d][i + n] == docs[e][j + n]:
+                        n += 1
+                    for k in range(i, i + n):
+                        longest[d][k] = max(longest[d][k], n)
+    hit = [[False] * len(w) for w in docs]
+    for x in chunkdedup.repeats(docs_of([(i, " ".join(w)) for i, w in enumerate(docs)])).collect():
+        ends, at = [], 0
+        for w in docs[x["doc_id"]]:
+            ends.append((at, at + len(w)))
+            at += len(w) + 1
+        inside = [k for k, (a, b) in enumerate(ends) if x["span_start"] <= a and b <= x["span_end"]]
+        for k in inside:
+            hit[x["doc_id"]][k] = True
+    rows = [(found, n) for h, ns in zip(hit, longest) for found, n in zip(h, ns)]
+    # Parts that follow one another may come from different places, each of them short.
+    assert all(n > 0 for found, n in rows if found)
+    want = [found for found, n in rows if n >= 50]
+    assert len(want) > 1000 and sum(want) >= 0.95 * len(want)
+
+
 def test_op7(spark, docs_of, tmp_path):
     """Repeats of rows with a null doc_id, and of rows that share a doc_id but not the text, are repeats of others."""
     r = random.Random(21)
