@@ -26,6 +26,8 @@ _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Without U+0130, whose lower case is two characters.
 SAFE = f"\\x02-\\x1b\\x20-\\x84\\x86-įı-ɏ{_PUNCTUATION}"
 _UNSAFE = re.compile(f"[^{SAFE}]|<\\|").search
+#: Runs of white space beyond this go to the library.
+_LONG_SPACE = re.compile(r"\s{20000}").search
 _MARK = "\x01"
 
 
@@ -96,14 +98,16 @@ class Encoder:
             os.path.basename(path), pat_str=r"[^\x01]+\x01" if self.words else PATTERN, mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={}
         )
         self.ids = np.array([ids.get(t, 0) for t in order], np.uint32)
-        # Only what the file's own splitting gives; white space is dropped.
+        # Only what the file's own splitting gives; white space is dropped, so what stands between is split by itself.
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+").findall
 
     def one(self, text: str) -> np.ndarray:
-        if _UNSAFE(text):
+        # The core's expression keeps a stack for each character of a run of white space.
+        if _UNSAFE(text) or not self.words and _LONG_SPACE(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         if self.words:
-            words = self.split(text.lower())
+            # All letters of SAFE are _LETTERS, so a word of letters alone is not split.
+            words = [w if w.isalpha() else _MARK.join(self.split(w)) for w in text.lower().split()]
             if not words:
                 return np.empty(0, "<u4")
             text = _MARK.join(words) + _MARK

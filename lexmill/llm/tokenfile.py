@@ -2,9 +2,9 @@
 
 A file: blocks of 128 ids, then an index. A block subtracts its minimum and packs the differences at the width
 that its 90th percentile needs; larger ones are in the block's list of exceptions, by place and value.
-    block: minimum u32, width u8, exceptions u8, packed ceil(count * width / 8) bytes, places u8 each, values u32 each
+    block: minimum u32, width u8, exceptions u8, packed ceil(count * width / 8) bytes (lowest bits first), places u8 each, values u32 each
     index: a u64 for the start of each block and the end of the last, then for each document doc_id i64, is-null u8, end u64
-    trailer: blocks u64, documents u64, ids u64, b"PFOR0001"
+    trailer: blocks u64, documents u64, ids u64, b"PFOR0002"
 The index gives any range of ids without reading the rest. Files of a table are in ascending order of doc_id.
 """
 
@@ -42,6 +42,33 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     return _encode(ids.reshape(full, BLOCK))
 
 
+def _packed(x: np.ndarray, width: int) -> np.ndarray:
+    """Each row's values below 2**width, the lowest bit first, as bytes: eight values make `width` bytes."""
+    rows, n = x.shape
+    groups = -(-n // 8)
+    v = np.zeros((rows, groups * 8), np.uint64)
+    v[:, :n] = x
+    v = v.reshape(rows, groups, 8)
+    out = np.zeros((rows, groups, width + 8), np.uint8)
+    for k in range(8):
+        at, shift = divmod(k * width, 8)
+        part = v[:, :, k] << np.uint64(shift)
+        for i in range(-(-(shift + width) // 8)):
+            out[:, :, at + i] |= (part >> np.uint64(8 * i)).astype(np.uint8)
+    return out[:, :, :width].reshape(rows, -1)[:, : -(-n * width // 8)]
+
+
+def _unpacked(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The n values of each row of bytes."""
+    kind = np.uint32 if width <= 24 else np.uint64
+    at, shift = np.divmod(np.arange(n) * width, 8)
+    out = np.zeros((len(raw), n), kind)
+    for i in range(-(-(7 + width) // 8)):
+        # A value's last byte may be that before the row's end; what is read beyond it is masked.
+        out |= raw[:, np.minimum(at + i, raw.shape[1] - 1)].astype(kind) << kind(8 * i)
+    return (out >> shift.astype(kind)) & kind((1 << width) - 1)
+
+
 def _encode(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     n = x.shape[1]
     low = x.min(1)
@@ -52,22 +79,17 @@ def _encode(x: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         part = d[rows]
-        over = part >> w if w < 32 else np.zeros_like(part)
-        bad = over > 0
-        packed = [b""] * len(rows)
-        if w:
-            kind = "<u2" if w <= 16 else "<u4"
-            low_bits = np.where(bad, 0, part).astype(kind).reshape(-1, 1).view(np.uint8)
-            bits = np.unpackbits(low_bits, axis=1, bitorder="little")[:, :w]
-            packed = [r.tobytes() for r in np.packbits(bits.reshape(len(rows), -1), axis=1)]
+        bad = part >> w > 0 if w < 32 else np.zeros(part.shape, bool)
+        size = -(-n * w // 8)
+        body = _packed(np.where(bad, 0, part), w).tobytes() if w else b""
         count = bad.sum(1)
-        for i, (r, p) in enumerate(zip(rows.tolist(), packed)):
-            head = int(low[r]).to_bytes(4, "little") + bytes((w, int(count[i])))
-            if count[i]:
-                at = np.flatnonzero(bad[i])
-                out[r] = head + p + at.astype(np.uint8).tobytes() + part[i, at].astype("<u4").tobytes()
-            else:
-                out[r] = head + p
+        head = np.zeros((len(rows), 6), np.uint8)
+        head[:, :4] = low[rows].astype("<u4").reshape(-1, 1).view(np.uint8)
+        head[:, 4], head[:, 5] = w, count
+        heads, places, values = head.tobytes(), np.nonzero(bad)[1].astype(np.uint8).tobytes(), part[bad].astype("<u4").tobytes()
+        ends = np.cumsum(count).tolist()
+        for i, (r, e, c) in enumerate(zip(rows.tolist(), ends, count.tolist())):
+            out[r] = heads[6 * i:6 * i + 6] + body[size * i:size * i + size] + places[e - c:e] + values[4 * (e - c):4 * e]
     return out, np.array([len(b) for b in out], np.int64)
 
 
@@ -80,11 +102,7 @@ def decode_blocks(raw: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndar
     for w, n in {(int(w), int(n)) for w, n in zip(head[:, 4], counts)}:
         rows = np.flatnonzero((head[:, 4] == w) & (counts == n))
         if w:
-            size = -(-n * w // 8)
-            bits = np.unpackbits(buf[starts[rows][:, None] + 6 + np.arange(size)], axis=1, count=n * w).reshape(len(rows), n, w)
-            padded = np.zeros((len(rows), n, 16 if w <= 16 else 32), np.uint8)
-            padded[:, :, :w] = bits
-            out[rows[:, None], np.arange(n)] = np.packbits(padded, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
+            out[rows, :n] = _unpacked(buf[starts[rows][:, None] + 6 + np.arange(-(-n * w // 8))], n, w)
     for r in np.flatnonzero(head[:, 5]).tolist():
         w, n, e = int(head[r, 4]), int(counts[r]), int(head[r, 5])
         at = int(starts[r]) + 6 + -(-n * w // 8)
@@ -111,8 +129,8 @@ class Writer:
         self._put(ids[:cut])
 
     def _put(self, ids: np.ndarray) -> None:
-        for i in range(0, len(ids), 1024 * BLOCK):
-            blocks, lengths = encode_blocks(ids[i:i + 1024 * BLOCK])
+        for i in range(0, len(ids), 512 * BLOCK):
+            blocks, lengths = encode_blocks(ids[i:i + 512 * BLOCK])
             self.f.write(b"".join(blocks))
             self.lengths.append(lengths)
 
@@ -122,7 +140,7 @@ class Writer:
         lengths = np.concatenate([np.zeros(1, np.int64), *self.lengths])
         self.f.write(np.cumsum(lengths).astype("<u8").tobytes())
         self.f.write(np.array(self.docs, _DOC).tobytes())
-        self.f.write(np.array([len(lengths) - 1, len(self.docs), self.n], "<u8").tobytes() + b"PFOR0001")
+        self.f.write(np.array([len(lengths) - 1, len(self.docs), self.n], "<u8").tobytes() + b"PFOR0002")
         self.f.flush()
         os.fsync(self.f.fileno())
         self.f.close()
@@ -135,7 +153,7 @@ class Reader:
         self.f = open(path, "rb")
         size = os.fstat(self.f.fileno()).st_size
         tail = self._at(size - 32, 32)
-        if tail[24:] != b"PFOR0001":
+        if tail[24:] != b"PFOR0002":
             raise ValueError(f"{path} is no file of token ids")
         self.blocks, n_docs, self.n = np.frombuffer(tail, "<u8", 3).astype(np.int64).tolist()
         at = size - 32 - n_docs * _DOC.itemsize

@@ -27,7 +27,7 @@ def ids(path, t):
 
 @pytest.fixture(scope="module")
 def rows():
-    return [*enumerate(texts(300)), (300, None), (301, "word " * 9000), (302, "x" * 50_000), (7, "again"), (7, "again"), (None, "no id"), (303, "")]
+    return [*enumerate(texts(300)), (300, None), (301, "word " * 9000), (302, "x" * 50_000), (304, "a" + " " * 1_100_000 + "b"), (7, "again"), (7, "again"), (None, "no id"), (303, "")]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -38,6 +38,14 @@ def test_encoder(path):
     assert encoding.Encoder(path).encode(some) == want
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_of_long_runs(path):
+    """Runs over which an expression that goes back would need a stack of millions."""
+    e = encoding.Encoder(path)
+    for t in ("x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a\t" + "\t" * 1_100_000, "a" * 300_000, "-" * 100_000, "don't " * 100_000):
+        assert (e.one(t) == np.array(e.library.encode(t, add_special_tokens=False).ids, "<u4")).all()
+
+
 def test_unproved_tokens_are_left_out():
     chars = {"a": 97, "b": 98, "c": 99}
     # abc is made of a + bc, but bc can't form where ab forms first.
@@ -107,9 +115,13 @@ def test_levels(spark, monkeypatch):
     monkeypatch.setattr(packing, "POOL", 4)
     monkeypatch.setattr(packing, "POOLED", 4)
     r = random.Random(1)
-    rows = [(i, r.choice([r.randrange(1, 2048), r.randrange(1, 400)]), "x") for i in range(600)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, sequence string").withColumn("shard", F.lit("mine")).drop("shard")).collect()
-    assert sorted((x["doc_id"], x["length"]) for x in got) == sorted(x[:2] for x in rows)
+    rows = [(i, r.choice([r.randrange(1, 2048), r.randrange(1, 400)]), "x") for i in range(600)] + [(700, 2048, "full")]
+    mine = ("shard", "id", "row", "best", "a.b")
+    table = spark.createDataFrame(rows, "doc_id long, length long, sequence string").withColumns({c: F.lit(77) for c in (*mine, "sequence_id", "offset")})
+    found = packing.pack(table)
+    assert found.columns == ["doc_id", "length", "sequence", *mine, "sequence_id", "offset"]
+    got = found.collect()
+    assert sorted((x["doc_id"], x["length"]) for x in got) == sorted(x[:2] for x in rows) and all(x[c] == 77 for x in got for c in mine)
     fill = {}
     for x in sorted(got, key=lambda x: (x["sequence_id"], x["offset"])):
         assert x["offset"] == fill.get(x["sequence_id"], 0)
@@ -117,6 +129,27 @@ def test_levels(spark, monkeypatch):
     assert max(fill.values()) <= 2048
 
 
+def test_rows_that_are_all_the_same(spark, monkeypatch):
+    """They go to all shards alike."""
+    monkeypatch.setattr(packing, "SHARD", 100)
+    sizes, solved = [], packing._solved
+    monkeypatch.setattr(packing, "_solved", lambda rows, capacity: sizes.append([r["count"] for r in rows.groupBy("shard").count().collect()]) or solved(rows, capacity))
+    same = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("length"))
+    assert packing.pack(same).groupBy("sequence_id").count().count() <= 2
+    assert len(sizes[0]) == 10 and max(sizes[0]) < 200
+
+
+@pytest.mark.parametrize("low, high, gain", [(400, 800, 5), (300, 520, 5)])
+def test_genetic_algorithm_beats_best_fit(low, high, gain):
+    """On lengths that best-fit decreasing can't pack to the bound."""
+    r = random.Random(1)
+    lengths = [r.randrange(low, high) for _ in range(4096)]
+    plain = packing.best_fit(lengths, sorted(range(4096), key=lambda i: -lengths[i]), [], 2048)
+    best = packing.evolve(lengths, [], 2048, 1)[0]
+    assert -(-sum(lengths) // 2048) <= len(best) <= len(plain) - gain
+    assert sorted(i for b in best for i in b) == list(range(4096)) and max(sum(lengths[i] for i in b) for b in best) <= 2048
+
+
 def test_genetic_operators():
     r = random.Random(3)
     lengths = [r.randrange(1, 2048) for _ in range(200)]
