@@ -118,17 +118,17 @@ def near(terms: list[str], p: int) -> str:
 _LEAVES = {
     "term": ("THE", has("the")),
     "term_missing": ("zzzzqqq", has("zzzzqqq")),
-    "prefix": ("erth*", "select path from tok where term like 'erth%'"),
+    "prefix": ("tionth*", "select path from tok where term like 'tionth%'"),
     "phrase_exact": ('"of the"', near(["of", "the"], 0)),
     "phrase_three": ('"and the of"~4', near(["and", "the", "of"], 4)),
     "phrase_proximity": ('"of and"~3', near(["of", "and"], 3)),
     "phrase_repeated": ('"the the"~2', near(["the", "the"], 2)),
     "phrase_one": ('"the"', has("the")),
-    "and": ("thion AND the", f"{has('thion')} intersect {has('the')}"),
+    "and": ("tion AND the", f"{has('tion')} intersect {has('the')}"),
     "implicit_and": ("of that not", f"{has('of')} intersect {has('that')}"),
-    "or": ("thion OR ndhe", f"{has('thion')} union {has('ndhe')}"),
+    "or": ("tion OR ndhe", f"{has('tion')} union {has('ndhe')}"),
     "not": ("NOT the", f"select path from v except {has('the')}"),
-    "double_not": ("NOT NOT thion", has("thion")),
+    "double_not": ("NOT NOT tion", has("tion")),
     "grouping": ("(of OR la) AND NOT (les der)", f"({has('of')} union {has('la')}) except ({has('les')} intersect {has('der')})"),
     "precedence": ("la OR of AND NOT the", f"{has('la')} union ({has('of')} except {has('the')})"),
     "filter_path": ("path:src1?/*", "select path from v where path glob 'src1?/*'"),
@@ -140,6 +140,8 @@ _LEAVES = {
 for _name, (_op, _sql) in {"eq": ("=", "="), "ne": ("!=", "<>"), "lt": ("<", "<"), "le": ("<=", "<="), "gt": (">", ">"), "ge": (">=", ">=")}.items():
     _LEAVES[f"filter_size_{_name}"] = (f"size:{_op}2KiB", f"select path from v where file_size {_sql} 2048")
     _LEAVES[f"filter_mtime_{_name}"] = (f"mtime:{_op}2024-01-09", f"select path from v where mtime_ns // 86400000000000 {_sql} 19731")
+# A size that documents have, so that "=" finds some.
+_LEAVES["filter_size_eq"] = ("size:=416B OR size:=715", "select path from v where file_size in (416, 715)")
 _LEAVES["implicit_and"] = ("of that", f"{has('of')} intersect {has('that')}")
 for _name, (_expr, _sql) in _LEAVES.items():
     register(f"match_{_name}", matches(_expr), f"{BASE} select distinct path from ({_sql})")
@@ -170,7 +172,7 @@ def ranked_sql(where: str, terms: str, k: int) -> str:
 
 
 register("bm25_topk", ranked("the of", 20), ranked_sql(f"{has('the')} intersect {has('of')}", "term in ('the', 'of')", 20))
-register("bm25_or", ranked("thion OR erth* OR la", 50), ranked_sql("select path from tok where term in ('thion', 'la') or term like 'erth%'", "term in ('thion', 'la') or term like 'erth%'", 50))
+register("bm25_or", ranked("tion OR tionth* OR la", 50), ranked_sql("select path from tok where term in ('tion', 'la') or term like 'tionth%'", "term in ('tion', 'la') or term like 'tionth%'", 50))
 register("bm25_phrase", ranked('"of and"~3 NOT la', 20), ranked_sql(f"{near(['of', 'and'], 3)} except {has('la')}", "term in ('of', 'and')", 20))
 register("bm25_double_not", ranked("NOT NOT that AND of", 20), ranked_sql(f"{has('that')} intersect {has('of')}", "term in ('that', 'of')", 20))
 register("rank_filter_only", ranked("extension:md", 30), f"with {VIEW} select path, 0.0::double score from v where path like '%.md' order by path limit 30")
@@ -199,17 +201,25 @@ register(
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document with a term, the first line that holds it, at most 240 bytes: on Spark's functions, as the table has the text."""
+    """For every document with a term, the first line that holds it, without a carriage return at its end; of one over 240 bytes the characters within the first 237, and "..."."""
     lines = F.split(F.col("text"), "\n", -1)
-    rows = view(spark, sf_dir).select("path", F.posexplode(lines).alias("i", "line")).where(F.array_contains(tx.tokens(F.col("line")), "thion"))
-    first = rows.groupBy("path").agg(F.min(F.struct("i", "line")).alias("x"))
-    return first.select("path", (F.col("x.i") + 1).cast("long").alias("line"), F.substring("x.line", 1, 60).alias("text"))
+    rows = view(spark, sf_dir).select("path", F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line")).where(F.array_contains(tx.tokens(F.col("line")), "tion"))
+    first = rows.groupBy("path").agg(F.min(F.struct("i", "line", "n")).alias("x"))
+    line = F.when(F.col("x.i") + 1 < F.col("x.n"), F.regexp_replace("x.line", "\\r\\z", "")).otherwise(F.col("x.line"))
+    raw = line.cast("binary")
+    goes_on = lambda at: F.substring(F.hex(F.substring(raw, at + 1, 1)), 1, 1).isin("8", "9", "A", "B")
+    at = F.when(~goes_on(237), 237).when(~goes_on(236), 236).when(~goes_on(235), 235).otherwise(234)
+    cut = F.concat(F.substring(raw, F.lit(1), at).cast("string"), F.lit("..."))
+    return first.select("path", (F.col("x.i") + 1).cast("long").alias("line"), F.when(F.octet_length(line) <= 240, line).otherwise(cut).alias("text"))
 
 
 register(
     "snippet",
     snippets,
-    f"with {VIEW}, l as (select path, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'l': x, 'i': i}})) u from v) select path, min(u.i)::bigint line, substring(arg_min(u.l, u.i), 1, 60) as text from l where list_contains(list_transform(regexp_extract_all(u.l, '[A-Za-z0-9_]+'), lambda x: lower(x)), 'thion') group by 1",
+    f"""with {VIEW}, l as (select path, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'l': x, 'i': i}})) u, len(string_split(text, chr(10))) n from v),
+f as (select path, min(u.i)::bigint line, arg_min(u.l, u.i) l, any_value(n) n from l where list_contains(list_transform(regexp_extract_all(u.l, '[A-Za-z0-9_]+'), lambda x: lower(x)), 'tion') group by 1),
+c as (select path, line, case when line < n and right(l, 1) = chr(13) then left(l, -1) else l end l from f)
+select path, line, case when strlen(l) <= 240 then l else substring(l, 1, list_max(list_filter(range(59, 238), lambda k: strlen(substring(l, 1, k)) <= 237))) || '...' end as text from c""",
 )
 
 # --- visibility, maintenance and validation ----------------------------------------------------------------------
@@ -279,17 +289,33 @@ def broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return d, p
 
 
+def misnumbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three segments whose documents are numbered from 0, one with a gap and one with a number given twice; postings that are no terms, doubled, of no document, or empty."""
+    docs = tokenized(view(spark, sf_dir)).withColumn("n", F.regexp_extract("path", r"doc-([0-9]+)", 1).cast("long"))
+    order = F.floor(F.col("n") / 3)
+    docs = docs.withColumns({"segment_id": F.col("n") % 3, "doc_ord": F.when(F.col("n") == 13, order + 1).otherwise(order)}).where("n <> 12")
+    p = postings_of(docs, ["segment_id", "doc_ord", "n"]).select("term", "segment_id", "doc_ord", "tf", "positions", "n")
+    odd = p.where("n % 10 = 0 and term = 'the'").withColumn("term", F.upper("term"))
+    twice = p.where("n % 25 = 1 and term = 'of'")
+    lost = p.where("n % 20 = 2 and term = 'and'").withColumn("doc_ord", F.col("doc_ord") + 1_000_000_000)
+    bare = p.where("n % 30 = 4 and term = 'to'").withColumn("tf", F.lit(0))
+    return docs, p.unionByName(odd).unionByName(twice).unionByName(lost).unionByName(bare)
+
+
 def validation(rule: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: vd.RULES[rule](*broken(s, d)).agg(F.count("*").alias("violations"))
+    faulty = misnumbered if rule in ("ordinals", "terms", "postings") else broken
+    return lambda s, d: vd.RULES[rule](*faulty(s, d)).agg(F.count("*").alias("violations"))
 
 
+_MISNUMBERED = f"{BASE}, f as (select doc_id, doc_id % 3 s, doc_id // 3 + (doc_id = 13)::int o, term from (select distinct path, term from tok) join v using (path) where doc_id <> 12)"
 _FAULTY_TF = f"{BASE}, t as (select path, term, count(*) tf from tok group by 1, 2), f as (select v.doc_id, term, tf from t join v using (path))"
 for _rule, _sql in {
-    "ordinals": "select 0::bigint violations",
+    "ordinals": "with d as (select doc_id % 3 s, doc_id // 3 + (doc_id = 13)::int o from documents where doc_id <> 12) select count(*) violations from (select s from d group by 1 having max(o) + 1 <> count(*) or count(distinct o) <> count(*))",
     "tombstones": "select count(*) violations from documents where doc_id % 90 = 1",
     "paths": "select count(*) violations from documents where doc_id % 40 = 3",
-    "terms": "select 0::bigint violations",
-    "postings": "select 0::bigint violations",
+    # Documents 13 and 16 share a number in the faulty segment, so their common terms are there twice as well.
+    "terms": f"""{_MISNUMBERED} select (select count(*) from f where doc_id % 10 = 0 and term = 'the') + (select count(*) from (select s, o, term, sum(1 + (doc_id % 25 = 1 and term = 'of')::int + (doc_id % 30 = 4 and term = 'to')::int) c from f group by all) where c > 1) violations""",
+    "postings": f"{_MISNUMBERED} select count(*) violations from f where (doc_id % 20 = 2 and term = 'and') or (doc_id % 30 = 4 and term = 'to')",
     "positions": f"{_FAULTY_TF} select count(*) violations from f where doc_id % 50 = 0 and term = 'the'",
     "lengths": f"{_FAULTY_TF} select count(distinct doc_id) violations from f where doc_id % 50 = 0 and term = 'the'",
     "hidden": f"{_FAULTY_TF} select count(*) violations from f where doc_id % 90 = 1",
