@@ -93,7 +93,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[i
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all words once it holds `most`."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
