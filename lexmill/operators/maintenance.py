@@ -54,6 +54,8 @@ PROFILES = {
     "performance": {"memory_limit_bytes": 1024 * MIB, "flush_bytes": 512 * MIB, "worker_threads": None, "merge_fan_in": 32, "positions": True},
 }
 MOST_SEGMENTS = 16
+#: Diagnostics of documents that a result lists; it counts all of them.
+MOST_DIAGNOSTICS = 1000
 #: Logical bytes without which nothing can be indexed.
 LEAST_MEMORY = 4096
 
@@ -193,7 +195,9 @@ class IndexWriter:
     def _metrics(self, rows: DataFrame, positions: bool, used: int) -> tuple[Metrics, list[Diagnostic]]:
         ok = F.col("error").isNull()
         m = rows.agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("ok"), F.sum(F.when(ok, F.col("file_size"))).alias("bytes"), F.sum(F.when(ok, F.size("tokens"))).alias("tokens"), F.sum(F.when(ok, F.octet_length("text"))).alias("text")).first()
-        bad = [Diagnostic("document", r["path"], r["error"]) for r in rows.where(~ok).select("path", "error").orderBy("path").collect()]
+        bad = [Diagnostic("document", r["path"], r["error"]) for r in rows.where(~ok).select("path", "error").orderBy("path").limit(MOST_DIAGNOSTICS).collect()]
+        if (left := m["n"] - m["ok"] - len(bad)) > 0:
+            bad.append(Diagnostic("document", "", f"and {left} more documents"))
         return Metrics(m["n"], m["ok"], m["n"] - m["ok"], m["bytes"] or 0, m["tokens"] or 0, (m["text"] or 0) + LEAST_MEMORY, used, 1, 0, self.limits["worker_threads"], positions), bad
 
     def rebuild(self, source, scan: directory.ScanOptions = directory.ScanOptions()) -> IndexResult:
@@ -334,7 +338,7 @@ def validate_index(spark: SparkSession, index_dir: str) -> IndexStats:
     """Holds files, records and postings against all rules, and counts what is visible."""
     folder = Path(index_dir)
     m, docs, post = st.read_index(spark, folder)
-    st.check_files(folder, m)
+    st.check_files(folder, m, spark)
     validation.check(docs, post)
     seen = visible(docs)
     shown = post.join(seen.select("segment_id", "doc_ord"), ["segment_id", "doc_ord"], "left_semi")

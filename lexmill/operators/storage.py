@@ -1,7 +1,7 @@
 """The index on disk: immutable segments of Parquet, and a manifest whose replacement is the sole point of commit.
 
     <index>/MANIFEST                   generation, next segment, active segments, positions, checksum
-    <index>/segment-<16 digits>/       documents/, postings/ (sorted by term) and _segment.json with the digest of each file
+    <index>/segment-<16 digits>/       documents/, postings/ (sorted by term) and _segment.json with the size and digest of each file
 
 A writer holds a lock on the folder. It writes a segment under a temporary name, renames it, then replaces the
 manifest; what an interrupted writer left behind is removed by the next one. Segments that a new generation no
@@ -20,6 +20,7 @@ import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 DOCUMENTS = "segment_id long, doc_ord long, path string, file_size long, mtime_ns long, token_count int, tombstone boolean, content_hash long"
@@ -133,8 +134,8 @@ class Transaction:
         documents.write.parquet(f"{uri}/documents")
         postings.repartitionByRange("term", "doc_ord").sortWithinPartitions("term", "doc_ord").write.parquet(f"{uri}/postings")
         files = sorted(p for p in path.rglob("*.parquet"))
-        (path / "_segment.json").write_text(json.dumps({str(p.relative_to(path)): file_digest(p) for p in files}))
-        for p in [*files, path / "_segment.json", path]:
+        (path / "_segment.json").write_text(json.dumps(file_digests(documents.sparkSession, path, files)))
+        for p in [path / "_segment.json", path]:
             sync(p)
         return path
 
@@ -164,24 +165,41 @@ class Transaction:
         return new, warnings
 
 
-def file_digest(path: Path) -> str:
-    with path.open("rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def file_digests(spark: SparkSession, folder: Path, files: list[Path]) -> dict[str, list]:
+    """Of each file its size and SHA-256, by its name below folder: read, and synced to disk, by the executors."""
+
+    def run(batches):
+        for batch in batches:
+            paths, sizes, digests = batch.column(0).to_pylist(), [], []
+            for p in map(Path, paths):
+                with p.open("rb") as f:
+                    digests.append(hashlib.file_digest(f, "sha256").hexdigest())
+                    os.fsync(f.fileno())
+                    sizes.append(os.fstat(f.fileno()).st_size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["path", "size", "sha256"])
+
+    if not files:
+        return {}
+    table = spark.createDataFrame([(str(p.absolute()),) for p in files], "path string").repartition(min(len(files), 4096))
+    rows = table.mapInArrow(run, "path string, size long, sha256 string").collect()  # a row for each file
+    return {str(Path(r["path"]).relative_to(folder.absolute())): [r["size"], r["sha256"]] for r in rows}
 
 
 def segment_bytes(folder: Path, m: Manifest) -> int:
     return sum(p.stat().st_size for s in m.active for p in (folder / segment_name(s)).rglob("*.parquet"))
 
 
-def check_files(folder: Path, m: Manifest) -> None:
+def check_files(folder: Path, m: Manifest, spark: SparkSession | None = None) -> None:
+    """Holds the files of active segments against what was written: names and sizes, which a writer needs, and with spark all contents, on the executors."""
     for s in m.active:
         path = folder / segment_name(s)
         try:
             wanted = json.loads((path / "_segment.json").read_text())
         except (OSError, ValueError) as e:
             raise IndexFailure(f"{path.name} can't be read: {e}") from e
-        there = {str(p.relative_to(path)): file_digest(p) for p in path.rglob("*.parquet")}
-        if there != wanted:
+        files = list(path.rglob("*.parquet"))
+        sizes = {str(p.relative_to(path)): p.stat().st_size for p in files}
+        if sizes != {name: size for name, (size, _) in wanted.items()} or (spark and file_digests(spark, path, files) != wanted):
             raise IndexFailure(f"{path.name}: files are missing, added or changed")
 
 
