@@ -24,8 +24,11 @@ from lexmill.llm.common import bit_filter, in_filter, read_table, slices, writte
 CUT_BITS = 5
 #: Bytes that a cut depends on.
 WINDOW = 16
-#: Words beside a chunk that tell whether its surroundings can be alike.
+#: Words beside a chunk of which hashes tell whether its surroundings can be alike, and the number of them with which a side counts as alike.
+LEVELS = np.array([1, 2, 3, 5, 7, 10, 14, 20])
 NEAR = 5
+#: What a place's key in the filter is changed with if the bytes beside it are asked for.
+_BESIDE = 0x5DEECE66D1CE4E5B
 _GEAR = np.random.default_rng(8191).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -92,15 +95,32 @@ class _Text:
         k = self.words(at) + n - 1
         return np.where(k < len(self.ends), np.r_[self.ends, 0][np.minimum(k, len(self.ends))], len(self.raw))
 
+    def beside(self, a, b) -> np.ndarray:
+        """For the chunks from a to b, 4 bits each of hashes of the LEVELS words before (upper half) and after, the nearest lowest."""
+        # Sums over runs of four bytes: of bytes alike they are alike, wherever these stand.
+        h = _GEAR[self.buf]
+        h[1:] += h[:-1] << np.uint32(1)
+        h[2:] += h[:-2] << np.uint32(2)
+        h = (h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B)
+        h = np.r_[np.uint32(0), np.cumsum(h ^ h >> np.uint32(13), dtype=np.uint32)]
+        n = LEVELS[:, None]
+
+        def bits(lo, hi):
+            x = h[hi] - h[np.minimum(lo + 3, hi)] + (hi - lo).astype(np.uint32) * np.uint32(0x9E3779B1)
+            x = (x ^ x >> np.uint32(16)) * np.uint32(0xC2B2AE35)
+            return ((x >> np.uint32(28)).astype(np.uint64) << (np.arange(len(LEVELS), dtype=np.uint64) * np.uint64(4))[:, None]).sum(0, dtype=np.uint64)
+
+        return bits(self.back(a, n), a) << np.uint64(32) | bits(b, self.ahead(b, n))
+
 
 def _space(buf: np.ndarray) -> np.ndarray:
     return (buf == 32) | ((buf >= 9) & (buf <= 13))
 
 
 def _occurrences(docs: DataFrame, bits, text_col: str, id_col: str) -> DataFrame:
-    """A row for each chunk that the filter lets through: digest (two longs), place, and `sig`, which holds its words
-    and 16 bits each of a hash of the NEAR words before and after."""
-    names = ["d1", "d2", "doc_id", "copy", "idx", "sig"]
+    """A row for each chunk that the filter lets through: digest (two longs), place, `w`, which holds the words begun
+    before it and in it, and `sig`, which tells what is beside it."""
+    names = ["d1", "d2", "doc_id", "copy", "idx", "w", "sig"]
 
     def run(batches):
         for batch in slices(batches):
@@ -119,11 +139,10 @@ def _occurrences(docs: DataFrame, bits, text_col: str, id_col: str) -> DataFrame
                 a, b = np.array(starts)[at], np.array(ends)[at]
                 copy = xxhash.xxh3_64_intdigest(raw)
                 d2 = [xxhash.xxh3_64_intdigest(raw[x:y], 77) for x, y in zip(a.tolist(), b.tolist())]
-                left = [xxhash.xxh3_64_intdigest(raw[x:y]) & 0xFFFF for x, y in zip(text.back(a, NEAR).tolist(), a.tolist())]
-                right = [xxhash.xxh3_64_intdigest(raw[x:y]) & 0xFFFF for x, y in zip(b.tolist(), text.ahead(b, NEAR).tolist())]
-                sig = (text.words(b) - text.words(a)) << 32 | np.array(left) << 16 | np.array(right)
+                before = text.words(a)
+                w = before << 32 | text.words(b) - before
                 null += [doc_id is None] * len(at)
-                for c, v in zip(cols, (d[at].view(np.int64), np.array(d2, np.uint64).view(np.int64), np.full(len(at), doc_id or 0), np.full(len(at), copy, np.uint64).view(np.int64), at, sig)):
+                for c, v in zip(cols, (d[at].view(np.int64), np.array(d2, np.uint64).view(np.int64), np.full(len(at), doc_id or 0), np.full(len(at), copy, np.uint64).view(np.int64), at, w, text.beside(a, b).view(np.int64))):
                     c.append(v)
             flat = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in cols]
             arrays = [pa.array(v) if n != "doc_id" else pa.array(v, mask=np.array(null, bool)) for n, v in zip(names, flat)]
@@ -133,60 +152,125 @@ def _occurrences(docs: DataFrame, bits, text_col: str, id_col: str) -> DataFrame
     return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def _whole(batches, keys: int):
+    """The rows of sorted batches, parted only where one of the first `keys` columns changes."""
+    held: list[pa.RecordBatch] = []
+
+    def row(batch, i: int) -> list:
+        return [batch.column(k)[i].as_py() for k in range(keys)]
+
+    def one():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and row(held[-1], held[-1].num_rows - 1) != row(batch, 0):
+            yield one()
+            held = []
+        other = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            other |= _changed(batch.column(k))
+        cut = int(np.flatnonzero(other)[-1]) if other.any() else 0
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield one()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield one()
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, nulls) of whole numbers; a null is 0."""
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _changed(*columns) -> np.ndarray:
+    """Where a row differs from the one before in a column; the first row does not."""
+    out = None
+    for c in columns:
+        for x in _values(c) if isinstance(c, pa.Array) else (c,):
+            new = np.r_[False, x[1:] != x[:-1]][:len(x)]
+            out = new if out is None else out | new
+    return out
+
+
 _PIECE = ["doc_id", "copy", "n", "p", "q", "own", "first_doc_id", "first_copy", "first_p", "first_q"]
 
 
-def _pieces(per_doc: DataFrame, least_words: int) -> DataFrame:
+def _pieces(again: DataFrame, least_words: int) -> DataFrame:
     """Runs of chunks p to q that may be repeats, each with where it stands first; first_p and first_q are null on a side that is not to be extended.
 
     A run is cut where its first places are not in a row; each such segment is extended if the words beside it may
-    make up what it lacks. A side whose NEAR words differ adds no more than NEAR: nothing, if the run has them anyway.
+    make up what it lacks. A side adds no more words than the fewest of LEVELS that differ, and no more bytes than
+    _places() compares: nothing, if the run has them anyway. Of what is left, those stay that may hold least_words
+    words together with the others that they may touch.
     """
+    most = np.r_[LEVELS, 1 << 32]
+    full = 1 + int(np.flatnonzero(LEVELS == NEAR)[0])
 
     def run(batches):
-        for batch in slices(batches, 256):
-            out: list[tuple] = []
-            for doc_id, copy, chunks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                key, n, i = (doc_id, copy), 0, 0
-                # A run repeats other documents or its own: short chunks that stand everywhere don't join the two.
-                own = [(c["fd"], c["fc"]) == key for c in chunks]
-                while i < len(chunks):
-                    j, segments = i, []
-                    while j < len(chunks) and chunks[j]["idx"] - chunks[i]["idx"] == j - i and own[j] == own[i]:
-                        c = chunks[j]
-                        line = (c["fd"], c["fc"], c["fi"] - c["idx"])
-                        if segments and segments[-1][0] == line:
-                            segments[-1][2] = j
-                        else:
-                            segments.append([line, j, j])
-                        j += 1
-                    words = sum(c["w"] >> 2 for c in chunks[i:j])
-                    found, passed = [], 0
-                    for line, a, b in segments:
-                        own_words = sum(c["w"] >> 2 for c in chunks[a:b + 1])
-                        has = words if a == i or b == j - 1 else own_words
-                        left = chunks[a]["w"] & 2 or passed < NEAR
-                        right = chunks[b]["w"] & 1 or words - passed - own_words < NEAR
-                        more = chunks[a]["w"] & 2 or chunks[b]["w"] & 1
-                        passed += own_words
-                        if (left or right) and (more or has + 2 * NEAR >= least_words):
-                            found.append((chunks[a]["idx"], chunks[b]["idx"], *line[:2], chunks[a]["fi"] if left else None, chunks[b]["fi"] if right else None))
-                    if len(segments) > 1 and (found or words >= least_words):
-                        most = max(chunks[i:j], key=lambda c: c["w"] >> 2)
-                        found.append((chunks[i]["idx"], chunks[j - 1]["idx"], most["fd"], most["fc"], None, None))
-                    for f in found:
-                        out.append((doc_id, copy, n, *f[:2], int(own[i]), *f[2:]))
-                        n += 1
-                    i = j
-            cols = list(zip(*out)) if out else [[]] * len(_PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_PIECE)
-
-    return per_doc.mapInArrow(run, ", ".join(f"{n} long" for n in _PIECE))
+        for batch in _whole(batches, 2):
+            # Rows alike in doc_id and text are one document.
+            new_doc = _changed(batch.column(0), batch.column(1))
+            batch = batch.filter(pa.array(np.r_[True, (new_doc | _changed(batch.column(2)))[1:]]))
+            (doc, none), (first, first_none) = _values(batch.column(0)), _values(batch.column(5))
+            copy, idx, w, alike, first_copy, first_idx = (batch.column(k).to_numpy() for k in (1, 2, 3, 4, 6, 7))
+            word, words, left_alike, right_alike = w >> 32, w & 0xFFFFFFFF, alike >> 4, alike & 15
+            new_doc = _changed(batch.column(0), batch.column(1))
+            # A run repeats other documents or its own: short chunks that stand everywhere don't join the two.
+            own = (doc == first) & (none == first_none) & (copy == first_copy)
+            new_run = new_doc | _changed(own, idx - np.arange(len(idx)))
+            new_run[0] = True
+            begins = np.flatnonzero(new_run | _changed(first, first_none, first_copy, first_idx - idx))
+            runs = np.flatnonzero(new_run)
+            ends, run_ends = np.r_[begins[1:], len(idx)], np.r_[runs[1:], len(idx)]
+            of = np.searchsorted(runs, begins, "right") - 1
+            total = np.r_[0, np.cumsum(words)]
+            own_words, run_words, passed = total[ends] - total[begins], (total[run_ends] - total[runs])[of], total[begins] - total[runs][of]
+            has = np.where((begins == runs[of]) | (ends == run_ends[of]), run_words, own_words)
+            more_left, more_right = left_alike[begins] >= full, right_alike[ends - 1] >= full
+            left, right = most[left_alike[begins]] >= passed, most[right_alike[ends - 1]] >= run_words - passed - own_words
+            # What is compared ends at the last chunk that begins least_words words before, or the first that ends as many after, and WINDOW + 1 bytes beyond.
+            base = (np.cumsum(new_run) - 1) << 34
+            back = np.searchsorted(base + word, base[begins] + word[begins] - least_words, "right") - 1
+            left &= (back < runs[of]) | (word[np.maximum(back, runs[of])] - word[runs[of]] <= WINDOW // 2)
+            ahead = np.searchsorted(base + word + words, base[begins] + (word + words)[ends - 1] + least_words + 1)
+            right &= ahead >= run_ends[of] - 1
+            found = (left | right) & (more_left | more_right | (has + 2 * NEAR >= least_words))
+            some = np.bincount(of[found], minlength=len(runs)) > 0
+            many = (np.bincount(of, minlength=len(runs)) > 1) & (some | (total[run_ends] - total[runs] >= least_words))
+            # The largest chunk of a run, the first of several.
+            of_chunk = np.cumsum(new_run) - 1
+            largest = np.flatnonzero(words == np.maximum.reduceat(words, runs)[of_chunk])
+            largest = largest[np.unique(of_chunk[largest], return_index=True)[1]]
+            a, b = np.r_[begins[found], runs[many]], np.r_[ends[found], run_ends[many]] - 1
+            from_ = np.r_[begins[found], largest[many]]
+            left, right = np.r_[left[found], np.zeros(many.sum(), bool)], np.r_[right[found], np.zeros(many.sum(), bool)]
+            lo = np.maximum(word[a] - np.where(left, most[left_alike[a]], 0), 0)
+            hi = np.minimum(word[b] + words[b] + np.where(right, most[right_alike[b]], 0), 1 << 33)
+            group = (np.cumsum(new_doc)[a] * 2 + own[a]) << 34
+            order = np.argsort(group + lo, kind="stable")
+            reach = np.maximum.accumulate((group + hi)[order])
+            opens = np.flatnonzero(np.r_[True, (group + lo)[order][1:] > reach[:-1]][:len(order)])
+            closes = np.r_[opens[1:], len(order)][:len(opens)]
+            enough = reach[closes - 1] - (group + lo)[order][opens] >= least_words
+            keep = order[np.repeat(enough, closes - opens)]
+            a, b, from_, left, right = a[keep], b[keep], from_[keep], left[keep], right[keep]
+            arrays = [
+                pa.array(doc[a], mask=none[a]), pa.array(copy[a]), pa.array(np.arange(len(a))), pa.array(idx[a]), pa.array(idx[b]), pa.array(own[a].astype(np.int64)),
+                pa.array(first[from_], mask=first_none[from_]), pa.array(first_copy[from_]), pa.array(first_idx[a], mask=~left), pa.array(first_idx[b], mask=~right),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=_PIECE)
+
+    rows = again.select("doc_id", "copy", "idx", "w", "alike", "fd", "fc", "fi").repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "idx")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in _PIECE))
 
 
 def _places(docs: DataFrame, bits, least_words: int, text_col: str, id_col: str) -> DataFrame:
     """A row for each start (place 2 * idx) and end (2 * idx + 1) of a chunk that the filter lets through: its byte, the
-    code points and words begun before it, and the bytes beside it.
+    code points and words begun before it, and, where the filter lets that through too, the bytes beside it.
 
     `near` reaches over least_words words at least and on to a cut: to the left to the start of a chunk before and over
     the window of its cut, to the right to a cut that any common text shares; one byte more lets words be counted.
@@ -201,16 +285,20 @@ def _places(docs: DataFrame, bits, least_words: int, text_col: str, id_col: str)
                 if not ends:
                     continue
                 copy = xxhash.xxh3_64_intdigest(raw)
-                hit = np.flatnonzero(in_filter(bits.value, np.uint64(copy) ^ (np.arange(2 * len(ends), dtype=np.uint64) << np.uint64(37))))
+                keys = np.uint64(copy) ^ (np.arange(2 * len(ends), dtype=np.uint64) << np.uint64(37))
+                hit = np.flatnonzero(in_filter(bits.value, keys))
                 if not len(hit):
                     continue
+                beside = in_filter(bits.value, keys[hit] ^ np.uint64(_BESIDE)).tolist()
                 text, starts = _Text(raw), [0, *ends[:-1]]
                 signed = int(np.uint64(copy).astype(np.int64))
                 at = [ends[h >> 1] if h & 1 else starts[h >> 1] for h in hit.tolist()]
                 back, ahead = text.back(np.array(at), least_words).tolist(), text.ahead(np.array(at), least_words).tolist()
-                for h, x, point, word, lo, hi in zip(hit.tolist(), at, text.points(at).tolist(), text.words(at).tolist(), back, ahead):
+                for h, x, point, word, lo, hi, asked in zip(hit.tolist(), at, text.points(at).tolist(), text.words(at).tolist(), back, ahead, beside):
                     i = h >> 1
-                    if h & 1:
+                    if not asked:
+                        near = None
+                    elif h & 1:
                         cut = bisect.bisect_left(ends, max(x + 1, starts[i] + WINDOW, hi))
                         near = raw[x - 1:(ends[cut] if cut < len(ends) else len(raw)) + 1]
                     else:
@@ -241,58 +329,68 @@ def _begun(near: bytes, a: int, b: int) -> tuple[int, int]:
     return points, len(part.split()) - (a > 0 and not near[a - 1:a].isspace() and not part[:1].isspace() and a < b)
 
 
-def _left(here: dict, there: dict | None) -> tuple[int, int, int]:
+def _left(here: tuple, there: tuple | None) -> tuple[int, int, int]:
     """(byte, code point, word) at which the text alike before two places begins."""
-    at, point, word, near = here["at"], here["point"], here["word"], here["near"]
+    at, point, word, near = here
     if there is None:
         return at, point, word
     # The byte before is there to tell whether a word begins, unless the text does.
-    n = _alike(*(x["near"] if len(x["near"]) == x["at"] else x["near"][1:] for x in (here, there)), "big")
+    n = _alike(*(x[3] if len(x[3]) == x[0] else x[3][1:] for x in (here, there)), "big")
     points, words = _begun(near, len(near) - n, len(near))
     return at - n, point - points, word - words
 
 
-def _right(here: dict, there: dict | None) -> tuple[int, int, int]:
+def _right(here: tuple, there: tuple | None) -> tuple[int, int, int]:
     """(byte, code point, word) at which the text alike after two places ends."""
-    at, point, word, near = here["at"], here["point"], here["word"], here["near"]
+    at, point, word, near = here
     if there is None:
         return at, point, word
-    n = _alike(near[1:], there["near"][1:], "little")
+    n = _alike(near[1:], there[3][1:], "little")
     while 0 < n < len(near) - 1 and near[n + 1] & 0xC0 == 0x80:
         n -= 1
     points, words = _begun(near, 1, n + 1)
     return at + n, point + points, word + words
 
 
-def _joined_pieces(per_doc: DataFrame, least_words: int) -> DataFrame:
+def _joined_pieces(sides: DataFrame, least_words: int) -> DataFrame:
+    """The repeats of the pieces, of which sides has up to four rows each: begin and end here (0, 1) and, on a side to be extended, there (2, 3)."""
     names = ["doc_id", "span_start", "span_end", "n_words", "first_doc_id", "copy", "first_copy"]
 
+    def joined(doc_id, copy, found: list[tuple], out: list[tuple]) -> None:
+        found.sort(key=lambda x: (x[0], x[1], x[2]))
+        i = 0
+        while i < len(found):
+            j, end, most = i, found[i][2], found[i]
+            while j < len(found) and found[j][0] == found[i][0] and found[j][1] <= end:
+                end, most = max(end, found[j][2]), max(most, found[j], key=lambda x: x[3])
+                j += 1
+            words = end[2] - found[i][1][2]
+            if words >= least_words:
+                out.append((doc_id, found[i][1][1], end[1], words, most[4], copy, most[5]))
+            i = j
+
     def run(batches):
-        for batch in slices(batches, 64):
+        for batch in _whole(batches, 2):
             out: list[tuple] = []
-            for doc_id, copy, ends in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                sides: dict[int, dict[int, dict]] = {}
-                for e in ends:
-                    sides.setdefault(e["n"], {})[e["side"]] = e
-                found = []
-                for s in sides.values():
-                    a, b = _left(s[0], s.get(2)), _right(s[1], s.get(3))
-                    found.append((s[0]["own"], a, b, b[2] - a[2], s[0]["first_doc_id"], s[0]["first_copy"]))
-                found.sort(key=lambda x: (x[0], x[1], x[2]))
-                i = 0
-                while i < len(found):
-                    j, end, most = i, found[i][2], found[i]
-                    while j < len(found) and found[j][0] == found[i][0] and found[j][1] <= end:
-                        end, most = max(end, found[j][2]), max(most, found[j], key=lambda x: x[3])
+            begins = np.flatnonzero(np.r_[True, _changed(batch.column(0), batch.column(1))[1:]]).tolist()
+            for a, b in zip(begins, [*begins[1:], batch.num_rows]):
+                rows, found, i = batch.slice(a, b - a), [], 0
+                n, side, own, first, first_copy = (rows.column(k).to_pylist() for k in range(2, 7))
+                places = list(zip(*(rows.column(k).to_pylist() for k in range(7, 11))))
+                while i < len(n):
+                    j, s = i, {}
+                    while j < len(n) and n[j] == n[i]:
+                        s[side[j]] = places[j]
                         j += 1
-                    words = end[2] - found[i][1][2]
-                    if words >= least_words:
-                        out.append((doc_id, found[i][1][1], end[1], words, most[4], copy, most[5]))
+                    x, y = _left(s[0], s.get(2)), _right(s[1], s.get(3))
+                    found.append((own[i], x, y, y[2] - x[2], first[i], first_copy[i]))
                     i = j
+                joined(rows.column(0)[0].as_py(), rows.column(1)[0].as_py(), found, out)
             cols = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return per_doc.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = sides.repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "n", "side")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,11 +409,16 @@ def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text
     first = occ.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "copy", "idx", "sig")).alias("first"), F.max(place).alias("last")).where("struct(first.doc_id, first.copy, first.idx) <> last")
     again = occ.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where("struct(doc_id, copy, idx) <> struct(first.doc_id, first.copy, first.idx)")
     differ = F.col("sig").bitwiseXOR(F.col("first.sig"))
-    same = F.when(differ.bitwiseAND(0xFFFF0000) == 0, 2).otherwise(0) + F.when(differ.bitwiseAND(0xFFFF) == 0, 1).otherwise(0)
-    w = F.shiftleft(F.shiftright("sig", 32), 2) + same
-    rows = again.select("doc_id", "copy", F.struct("idx", w.alias("w"), F.col("first.doc_id").alias("fd"), F.col("first.copy").alias("fc"), F.col("first.idx").alias("fi")).alias("c"))
-    per_doc = rows.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set("c")).alias("chunks"))
-    pieces = written(_pieces(per_doc, least_words))
+
+    def alike(shift: int) -> Column:
+        """How many of LEVELS are alike, from the nearest on."""
+        out = F.lit(len(LEVELS))
+        for k in reversed(range(len(LEVELS))):
+            out = F.when(F.shiftright(differ, shift + 4 * k).bitwiseAND(15) != 0, k).otherwise(out)
+        return out
+
+    again = again.select("doc_id", "copy", "idx", "w", (alike(32) * 16 + alike(0)).cast("long").alias("alike"), F.col("first.doc_id").alias("fd"), F.col("first.copy").alias("fc"), F.col("first.idx").alias("fi"))
+    pieces = written(_pieces(again, least_words))
 
     def end(side: int, doc: str, copy: str, at: str, there: str) -> Column:
         return F.struct(F.lit(side).cast("long").alias("side"), F.col(doc).alias("d"), F.col(copy).alias("c"), F.expr(at).alias("place"), F.col(there).isNotNull().alias("extend"))
@@ -324,10 +427,12 @@ def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text
     ends = F.array(end(0, "doc_id", "copy", "2 * p", "first_p"), end(1, "doc_id", "copy", "2 * q + 1", "first_q"), end(2, *there, "2 * first_p", "first_p"), end(3, *there, "2 * first_q + 1", "first_q"))
     asked = pieces.select("doc_id", "copy", "n", "own", *there, F.explode(ends).alias("e")).where("e.place is not null")
     asked = asked.select("doc_id", "copy", "n", "own", *there, "e.*")
-    bits3 = spark.sparkContext.broadcast(bit_filter(asked.select(F.col("c").bitwiseXOR(F.shiftleft("place", 37)).alias("h")), "h"))
+    key = F.col("c").bitwiseXOR(F.shiftleft("place", 37))
+    keys = F.array(key, F.when(F.col("extend"), key.bitwiseXOR(F.lit(_BESIDE))).otherwise(key))
+    bits3 = spark.sparkContext.broadcast(bit_filter(asked.select(F.explode(keys).alias("h")), "h"))
     at = _places(docs, bits3, least_words, text_col, id_col).select(F.col("doc_id").alias("pd"), F.col("copy").alias("pc"), F.col("place").alias("pp"), "at", "point", "word", "near")
     met = asked.join(at, F.col("d").eqNullSafe(F.col("pd")) & (F.col("c") == F.col("pc")) & (F.col("place") == F.col("pp")))
-    sides = met.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("n", "side", "own", *there, "at", "point", "word", F.when(F.col("extend"), F.col("near")).alias("near"))).alias("ends"))
+    sides = met.select("doc_id", "copy", "n", "side", "own", *there, "at", "point", "word", F.when(F.col("extend"), F.col("near")).alias("near"))
     return _joined_pieces(sides, least_words)
 
 

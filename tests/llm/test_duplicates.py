@@ -275,6 +275,49 @@ def test_op7_own_repeats(spark, docs_of, tmp_path):
     assert sorted((x["doc_id"] or 0, x["first_doc_id"] or 0, x["own"]) for x in found) == [(0, 0, True), (4, 0, False), (4, 0, False), (6, 5, False)]
 
 
+def test_bytes_are_asked_for_only_beside_a_run(spark, docs_of, monkeypatch):
+    """Of a text put together from many others all of it is one repeat, for which only what is near its ends is compared."""
+    r = random.Random(31)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    w = words(2400).split()
+    rows = [(i, " ".join(w[60 * i:60 * i + 120])) for i in range(39)] + [(100, f"{words(9)} {' '.join(w)} {words(9)}")]
+    kept = []
+    monkeypatch.setattr(chunkdedup, "written", lambda df: kept.append(common.written(df)) or kept[-1])
+    found = [x for x in chunkdedup.repeats(docs_of(rows)).collect() if x["doc_id"] == 100]
+    assert len(found) == 1 and 2400 <= found[0]["n_words"] <= 2402
+    pieces = [x for x in kept[-1].collect() if x["doc_id"] == 100]
+    assert len(pieces) < 10 and sum(x["first_p"] is not None for x in pieces) < 5 and sum(x["first_q"] is not None for x in pieces) < 5
+
+
+def test_beside():
+    """The hashes of what is beside a chunk differ at no level that what is alike reaches over."""
+    r = random.Random(32)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    for _ in range(20):
+        w = [word() for _ in range(60)]
+        raw = " ".join(w).encode()
+        text = chunkdedup._Text(raw)
+        ends = chunkdedup.cuts(raw)
+        starts = np.r_[0, ends[:-1]]
+        sig = text.beside(starts, ends)
+        k = r.randrange(60)
+        other = " ".join([*w[:k], "z" + w[k], *w[k + 1:]]).encode()
+        ends2 = chunkdedup.cuts(other)
+        sig2 = chunkdedup._Text(other).beside(np.r_[0, ends2[:-1]], ends2)
+        at = {(a, b): s for a, b, s in zip(starts.tolist(), ends.tolist(), sig.tolist())}
+        shift = len(" ".join(w[:k])) + (k > 0)
+        for a, b, s in zip([0, *ends2[:-1].tolist()], ends2.tolist(), sig2.tolist()):
+            moved = int(shift < a)
+            if (old := at.get((a - moved, b - moved))) is None or a <= shift < b:
+                continue
+            # Words between the chunk and the change are alike at every level that they reach over.
+            left, right = (old ^ s) >> 32, (old ^ s) & 0xFFFFFFFF
+            n = len(other[shift:a].split()) - 1 if shift < a else len(other[b:shift].split()) - 1
+            x = left if shift < a else right
+            assert all(x >> 4 * i & 15 == 0 for i, level in enumerate(chunkdedup.LEVELS) if level <= n - 1)
+            assert (right if shift < a else left) == 0
+
+
 def test_large_buckets(spark, docs_of, monkeypatch):
     """Many documents that are alike but not all linked, in buckets of many blocks and groups of many parts."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
