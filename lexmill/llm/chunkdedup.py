@@ -429,7 +429,7 @@ def repeats(docs: DataFrame, least_words: int = 20, id_col: str = "doc_id", text
     asked = asked.select("doc_id", "copy", "n", "own", *there, "e.*")
     key = F.col("c").bitwiseXOR(F.shiftleft("place", 37))
     keys = F.array(key, F.when(F.col("extend"), key.bitwiseXOR(F.lit(_BESIDE))).otherwise(key))
-    bits3 = spark.sparkContext.broadcast(bit_filter(asked.select(F.explode(keys).alias("h")), "h"))
+    bits3 = spark.sparkContext.broadcast(bit_filter(asked.select(F.explode(keys).alias("h")), "h", 8 * pieces.count()))
     at = _places(docs, bits3, least_words, text_col, id_col).select(F.col("doc_id").alias("pd"), F.col("copy").alias("pc"), F.col("place").alias("pp"), "at", "point", "word", "near")
     met = asked.join(at, F.col("d").eqNullSafe(F.col("pd")) & (F.col("c") == F.col("pc")) & (F.col("place") == F.col("pp")))
     sides = met.select("doc_id", "copy", "n", "side", "own", *there, "at", "point", "word", F.when(F.col("extend"), F.col("near")).alias("near"))

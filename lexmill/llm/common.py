@@ -128,12 +128,14 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 FILTER_BITS = 27
+#: Up to how many more bits a filter may have for many entries.
+MORE_BITS = 2
 
 
-def bit_filter(df: DataFrame, col: str) -> np.ndarray:
-    """A filter of 2**27 bits (16 MB, whatever the number of rows) that is set at the top bits of each 64-bit hash.
+def bit_filter(df: DataFrame, col: str, entries: int = 0) -> np.ndarray:
+    """A filter of 2**27 bits (16 MB) that is set at the top bits of each 64-bit hash; for so many entries of up to 2**29 bits (64 MB), whatever their number.
 
-    The executors build 64 KB pages; the driver only puts at most 256 of them side by side.
+    The executors build 64 KB pages; the driver only puts at most 1,024 of them side by side.
     More hashes make more false positives, which the later exact steps discard; it has no false negatives.
     """
     page_bits = 19
@@ -150,9 +152,11 @@ def bit_filter(df: DataFrame, col: str) -> np.ndarray:
         if acc:
             yield pa.RecordBatch.from_pydict({"page": pa.array(list(acc), pa.int64()), "bits": pa.array([a.tobytes() for a in acc.values()], pa.binary())})
 
-    bits = df.select(F.shiftrightunsigned(F.col(col), 64 - FILTER_BITS).alias("bit")).distinct()
+    # Eight bits an entry, if there may be so many.
+    n = FILTER_BITS + min(max((entries * 8 - 1).bit_length() - FILTER_BITS, 0), MORE_BITS)
+    bits = df.select(F.shiftrightunsigned(F.col(col), 64 - n).alias("bit")).distinct()
     bits = bits.repartition(16, F.shiftright("bit", page_bits))
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = np.zeros(1 << (n - 3), np.uint8)
     for row in bits.mapInArrow(arrow_pages, "page long, bits binary").collect():
         at = row["page"] << (page_bits - 3)
         out[at:at + (1 << (page_bits - 3))] = np.frombuffer(row["bits"], np.uint8)
@@ -160,7 +164,7 @@ def bit_filter(df: DataFrame, col: str) -> np.ndarray:
 
 
 def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - FILTER_BITS)
+    at = h >> np.uint64(65 - (len(bits) * 8).bit_length())
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 

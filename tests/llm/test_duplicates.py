@@ -289,6 +289,17 @@ def test_bytes_are_asked_for_only_beside_a_run(spark, docs_of, monkeypatch):
     assert len(pieces) < 10 and sum(x["first_p"] is not None for x in pieces) < 5 and sum(x["first_q"] is not None for x in pieces) < 5
 
 
+def test_filter_grows(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 20)
+    df = spark.range(400_000).select(F.xxhash64("id").alias("h"))
+    inside = df.toPandas()["h"].to_numpy().view(np.uint64)
+    outside = spark.range(500_000, 600_000).select(F.xxhash64("id").alias("h")).toPandas()["h"].to_numpy().view(np.uint64)
+    for entries, bits in ((0, 20), (1 << 17, 20), (400_000, 22), (1 << 40, 22)):
+        got = common.bit_filter(df, "h", entries)
+        assert len(got) * 8 == 1 << bits and common.in_filter(got, inside).all()
+        assert common.in_filter(got, outside).mean() < (0.35 if bits == 20 else 0.1)
+
+
 def test_beside():
     """The hashes of what is beside a chunk differ at no level that what is alike reaches over."""
     r = random.Random(32)
