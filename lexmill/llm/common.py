@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -57,16 +59,37 @@ def text_of(docs: DataFrame, col: str = "text"):
     return F.coalesce(docs[col].cast("string"), F.lit(""))
 
 
+@functools.cache
+def _libc():
+    """The C library, told to map blocks of 4 MB and more by themselves, so that their memory goes back as they are freed; None where it is not glibc."""
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim") or not hasattr(libc, "mallopt"):
+        return None
+    libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD; unless it is set it rises to 32 MB
+    return libc
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on with all that its largest task took."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    give_back()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        batch = None
+        give_back()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
     """(key, rows) of each run of rows alike in the first `keys` columns, whole numbers without nulls, of sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
+    give_back()
 
     def whole():
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -289,6 +292,32 @@ def test_bytes_are_asked_for_only_beside_a_run(spark, docs_of, monkeypatch):
     assert len(pieces) < 10 and sum(x["first_p"] is not None for x in pieces) < 5 and sum(x["first_q"] is not None for x in pieces) < 5
 
 
+def test_memory_goes_back():
+    """What batches took before is not kept by the process; each block freed here lies below one that stays."""
+    code = """
+import pyarrow as pa
+from lexmill.llm.common import slices
+
+def used():
+    return int(open("/proc/self/statm").read().split()[1]) * 4 // 1024
+
+pins = []
+
+def batches():
+    for _ in range(3):
+        blocks = [b"x" * 100_000 for _ in range(1500)]
+        pins.append(b"y" * 100_000)
+        del blocks
+        yield pa.RecordBatch.from_pydict({"a": [1, 2, 3]})
+
+before = used()
+assert sum(b.num_rows for b in slices(batches(), 2)) == 9
+assert used() - before < 60, used() - before
+"""
+    root = Path(common.__file__).resolve().parents[2]
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
 def test_filter_grows(spark, monkeypatch):
     monkeypatch.setattr(common, "FILTER_BITS", 20)
     df = spark.range(400_000).select(F.xxhash64("id").alias("h"))
