@@ -16,21 +16,72 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WordHashes, bit_filter, in_filter, read_table, shingle_hashes, slices, written
+from lexmill.llm.common import bit_filter, in_filter, mix, read_table, shingle_hashes, slices, written
 
 SHINGLE = 3
 #: The windows are copied, and the places of a shingle spread, over so many keys: one shingle may stand in any share of the rows.
 SALT = 16
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_IS_WORD = np.array([bool(_WORD.match(bytes([b]))) for b in range(256)])
+#: What a byte adds to its word's hash at each of 64 places; 0 for bytes outside words.
+_ADDS = (np.random.default_rng(4093).integers(1, 1 << 64, (64, 256), dtype=np.uint64) * _IS_WORD).ravel()
+#: Bytes that are hashed at once, and those of a word beyond which it is hashed by itself.
+_AT_ONCE, _LONG = 1 << 20, 1 << 16
 
 
 def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+class _Words:
+    """The words of some texts: their hashes, their text's number, and their bytes on demand; counts has the words of each text."""
+
+    def __init__(self, texts: list[str | bytes | None]):
+        raws = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.raw = b"\0".join(raws).lower()
+        buf = np.frombuffer(self.raw, np.uint8)
+        inside = _IS_WORD[buf]
+        self.begins = np.flatnonzero(inside & ~np.r_[False, inside[:-1]][:len(inside)])
+        self.ends = np.flatnonzero(inside & ~np.r_[inside[1:], False][:len(inside)]) + 1
+        self.counts = np.diff(np.searchsorted(self.begins, np.cumsum([0, *(len(r) + 1 for r in raws)])))
+        self.text = np.repeat(np.arange(len(raws)), self.counts)
+        self.hashes = self._hashes(buf)
+
+    def _hashes(self, buf: np.ndarray) -> np.ndarray:
+        begins, ends = self.begins, self.ends
+        out = np.empty(len(begins), np.uint64)
+        alone = np.flatnonzero(ends - begins > _LONG)
+        for i in alone.tolist():
+            out[i] = xxhash.xxh64_intdigest(self.raw[begins[i]:ends[i]])
+        for i, stop in zip([0, *(alone + 1).tolist()], [*alone.tolist(), len(begins)]):
+            while i < stop:
+                j = min(int(np.searchsorted(begins, begins[i] + _AT_ONCE)), stop)
+                at = begins[i:j] - begins[i]
+                part = buf[begins[i]:ends[j - 1]]
+                place = np.arange(len(part)) - np.repeat(at, np.diff(np.r_[at, len(part)]))
+                adds = _ADDS[(place & 63) << 8 | part]
+                far = np.flatnonzero((place >= 64) & (adds != 0))
+                if len(far):
+                    adds[far] = mix(adds[far] + (place[far] >> 6).astype(np.uint64))
+                out[i:j] = mix(np.add.reduceat(adds, at))
+                i = j
+        return out
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first word) of each run of k words of one text."""
+        if len(self.hashes) < k:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        at = np.flatnonzero(self.text[:len(self.text) - k + 1] == self.text[k - 1:])
+        return shingle_hashes(self.hashes, k)[at], at
+
+    def joined(self, a: int, b: int) -> bytes:
+        return b" ".join([self.raw[x:y] for x, y in zip(self.begins[a:b].tolist(), self.ends[a:b].tolist())])
+
+
 def _windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(window, wid) of the distinct windows, and (wid, item_id) of the items that hold them; a null item_id counts as an item named ''."""
 
@@ -53,18 +104,16 @@ def _shingles(windows: DataFrame) -> DataFrame:
     """(window, wid, n, shingle, at): every shingle of every window with its place; of SHINGLE words, or all of a shorter window."""
 
     def run(batches):
-        words = WordHashes()
         for batch in slices(batches, 1024):
-            row, n, sh, at = [], [], [], []
-            for i, w in enumerate(batch.column(0).to_pylist()):
-                h = words.of(w.split(b" "))
-                s = shingle_hashes(h, min(SHINGLE, len(h)))
-                row += [i] * len(s)
-                n += [len(h)] * len(s)
-                at += range(len(s))
-                sh.append(s.view(np.int64))
-            row = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(n, pa.int32()), pa.array(np.concatenate(sh) if sh else [], pa.int64()), pa.array(at, pa.int32())], names=["window", "wid", "n", "shingle", "at"])
+            words = _Words(batch.column(0).to_pylist())
+            first = np.cumsum(words.counts) - words.counts
+            found = [(*words.shingles(k), k) for k in range(1, SHINGLE + 1)]
+            # Of a window of fewer words than SHINGLE, all of them are one.
+            keep = [(words.counts[words.text[at]] == k) | (k == SHINGLE) for _, at, k in found]
+            s, at = (np.concatenate([x[i][ok] for x, ok in zip(found, keep)]) for i in (0, 1))
+            text = words.text[at]
+            row = pa.array(text.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(words.counts[text].astype(np.int32)), pa.array(s.view(np.int64)), pa.array((at - first[text]).astype(np.int32))], names=["window", "wid", "n", "shingle", "at"])
 
     return windows.mapInArrow(run, "window binary, wid long, n int, shingle long, at int")
 
@@ -73,7 +122,7 @@ def _frequencies(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     """(shingle, n): how often each shingle that the filter lets through stands in all documents."""
 
     def run(batches):
-        words, got = WordHashes(), {}
+        got: dict[int, int] = {}
 
         def flush():
             b = pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], names=["shingle", "n"])
@@ -81,12 +130,11 @@ def _frequencies(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
             return b
 
         for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                h = words.of(words_of(t))
-                for k in sizes:
-                    s = shingle_hashes(h, k)
-                    for x in s[in_filter(bits.value, s)].view(np.int64).tolist():
-                        got[x] = got.get(x, 0) + 1
+            words = _Words(batch.column(0).to_pylist())
+            for k in sizes:
+                s, _ = words.shingles(k)
+                for x in s[in_filter(bits.value, s)].view(np.int64).tolist():
+                    got[x] = got.get(x, 0) + 1
             if len(got) > 200_000:
                 yield flush()
         yield flush()
@@ -102,19 +150,20 @@ def _places(docs: DataFrame, bits, sizes: list[int], size: int) -> DataFrame:
     def run(batches):
         import hashlib
 
-        words = WordHashes()
         for batch in slices(batches):
-            out: list[tuple] = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words_of(t)
-                copy = hashlib.md5(("\0" if t is None else t).encode("utf-8", "surrogatepass")).digest()
-                out.append((doc_id, copy, len(w), True, None, None, None, None))
-                h = words.of(w)
-                for k in sizes:
-                    s = shingle_hashes(h, k)
-                    for p in np.flatnonzero(in_filter(bits.value, s)).tolist():
-                        first = max(0, p - size + k)
-                        out.append((doc_id, copy, len(w), False, int(s[p].view(np.int64)), p, first, b" ".join(w[first:p + size])))
+            texts = batch.column(1).to_pylist()
+            words = _Words(texts)
+            copies = [hashlib.md5(("\0" if t is None else t).encode("utf-8", "surrogatepass")).digest() for t in texts]
+            docs = list(zip(batch.column(0).to_pylist(), copies, words.counts.tolist()))
+            out: list[tuple] = [(*d, True, None, None, None, None) for d in docs]
+            starts = (np.cumsum(words.counts) - words.counts).tolist()
+            for k in sizes:
+                s, at = words.shingles(k)
+                hit = in_filter(bits.value, s)
+                for x, p, i in zip(s[hit].view(np.int64).tolist(), at[hit].tolist(), words.text[at[hit]].tolist()):
+                    p -= starts[i]
+                    first = max(0, p - size + k)
+                    out.append((*docs[i], False, x, p, first, words.joined(starts[i] + first, starts[i] + min(p + size, docs[i][2]))))
             cols = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=names)
 

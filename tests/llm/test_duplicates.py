@@ -161,6 +161,22 @@ def test_decontamination(spark, docs_of, tmp_path):
     assert decontam.contamination(docs_of([]), none).count() == 0
 
 
+def test_words_at_once(monkeypatch):
+    """Words, counts and shingles of many texts at once are those of each text alone, wherever they are parted."""
+    monkeypatch.setattr(decontam, "_AT_ONCE", 50)
+    monkeypatch.setattr(decontam, "_LONG", 200)
+    texts = [None, "", "Ab cd", "  ", "ab, CD ef\0gh", "é" * 90 + " x " + "y" * 300, "z" * 70 + "-" * 99 + "Z" * 70, "ab cd ef gh", "a" * 64 + "b", "b" + "a" * 64, "\ud800a b"]
+    words = decontam._Words(texts)
+    want = [decontam.words_of(t) for t in texts]
+    flat = [w for ws in want for w in ws]
+    assert words.counts.tolist() == [len(w) for w in want] and [words.joined(i, i + 1) for i in range(len(flat))] == flat
+    assert len({(w, int(h)) for w, h in zip(flat, words.hashes)}) == len(set(flat)) == len(set(words.hashes.tolist()))
+    for k in (1, 2, 3):
+        got = [words.joined(i, i + k) for i in words.shingles(k)[1].tolist()]
+        assert got == [b" ".join(w[i:i + k]) for w in want for i in range(len(w) - k + 1)]
+    assert not len(decontam._Words([]).hashes) and not len(decontam._Words([None]).shingles(1)[0])
+
+
 def test_gear():
     raw = bytes(random.Random(1).randrange(256) for _ in range(500))
     h, want = 0, []
