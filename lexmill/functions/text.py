@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
+def one_of(term: Column, terms: Iterable[str], prefixes: Iterable[str] = ()) -> Column:
+    """Whether a term is one of terms or begins with one of prefixes."""
+    return reduce(lambda found, p: found | term.startswith(p), prefixes, term.isin(list(terms)))
+
+
 def once(df: DataFrame, **values: Column) -> DataFrame:
     """df with columns that are worked out once a row. The optimizer copies the expression of a plain column into each use,
     also into filters below and into lambdas, where it runs for each element; it doesn't look into a generator."""

@@ -162,7 +162,7 @@ register("set_algebra", set_algebra, f"{BASE} select distinct path, 3::bigint si
 
 def ranked(expression: str, k: int) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return cp.search(corpus(spark, sf_dir), expression, k).select("path", F.round("score", 6).alias("score"))
+        return cp.search(corpus(spark, sf_dir), expression, k, most_prefix_terms=None).select("path", F.round("score", 6).alias("score"))
 
     return run
 

@@ -23,24 +23,28 @@ class Plan:
     positive: list[str]  # sorted
     needed: list[str]
     has_phrase: bool
+    open: tuple[str, ...] = ()  # prefixes that are not expanded, sorted
+    open_positive: tuple[str, ...] = ()
 
 
-def plan(node: q.Node, corpus: Corpus) -> Plan:
-    """Expands prefixes against the corpus and lists the terms that take part."""
+def plan(node: q.Node, corpus: Corpus, most_prefix_terms: int | None = q.MOST_PREFIX_TERMS) -> Plan:
+    """Expands prefixes against the corpus and lists the terms that take part. With None as their limit, prefixes stay open: they may
+    stand for any number of terms, which nobody lists."""
     found = q.leaves(node)
     prefixes: dict[str, list[str]] = {}
     seen: set[str] = set()
     for leaf in found:
-        if isinstance(leaf, q.Prefix) and leaf.value not in prefixes:
-            prefixes[leaf.value] = corpus.terms_with_prefix(leaf.value, q.MOST_PREFIX_TERMS + 1)
+        if isinstance(leaf, q.Prefix) and leaf.value not in prefixes and most_prefix_terms is not None:
+            prefixes[leaf.value] = corpus.terms_with_prefix(leaf.value, most_prefix_terms + 1)
             seen |= set(prefixes[leaf.value])
-            if len(seen) > q.MOST_PREFIX_TERMS:
-                raise q.QueryError(f"the query's prefixes stand for more than {q.MOST_PREFIX_TERMS} terms")
+            if len(seen) > most_prefix_terms:
+                raise q.QueryError(f"the query's prefixes stand for more than {most_prefix_terms} terms")
     has_phrase = any(isinstance(x, q.Phrase) for x in found)
     if has_phrase and not corpus.positions:
         raise q.QueryError("a phrase needs an index with positions; rebuild it with another profile")
     needed = sorted({t for x in found for t in q.leaf_terms(x, prefixes)})
-    return Plan(node, prefixes, sorted(q.positive_terms(node, prefixes)), needed, has_phrase)
+    opened = (tuple(sorted(q.open_prefixes(node, prefixes, positive))) for positive in (False, True))
+    return Plan(node, prefixes, sorted(q.positive_terms(node, prefixes)), needed, has_phrase, *opened)
 
 
 def phrase_flag(m: Column, terms: tuple[str, ...], proximity: int) -> Column:
@@ -79,6 +83,8 @@ def flag(node: q.Node, prefixes: dict[str, list[str]]) -> Column:
     match node:
         case q.Term(value):
             out = F.map_contains_key(m, F.lit(value))
+        case q.Prefix(value) if value not in prefixes:
+            out = F.exists(F.map_keys(m), lambda t: t.startswith(value))
         case q.Prefix(value):
             terms = prefixes[value]
             out = F.arrays_overlap(F.map_keys(m), F.array(*map(F.lit, terms))) if terms else F.lit(False)
@@ -104,7 +110,7 @@ def flag(node: q.Node, prefixes: dict[str, list[str]]) -> Column:
 
 def matching(corpus: Corpus, p: Plan) -> DataFrame:
     """DOC_COLUMNS and m of the documents that match."""
-    rows = corpus.matched(p.needed, p.has_phrase, keep_all=q.can_match_nothing(p.node) or not p.needed)
+    rows = corpus.matched(p.needed, p.has_phrase, q.can_match_nothing(p.node) or not (p.needed or p.open), p.open)
     return rows.where(flag(p.node, p.prefixes))
 
 
@@ -140,12 +146,29 @@ def scored(matches: DataFrame, stats: Statistics, positive: list[str]) -> DataFr
     return rows.select("path", F.aggregate("explanation", F.lit(0.0), lambda a, x: a + x["score"]).alias("score"), "explanation")
 
 
-def search(corpus: Corpus, expression: str, top_k: int | None = 20) -> DataFrame:
+def scored_open(matches: DataFrame, corpus: Corpus, p: Plan) -> DataFrame:
+    """As scored(), where terms are too many to be listed: their numbers of documents are a table, joined to the terms of the matches."""
+    frequencies = corpus.matched(p.positive, False, False, p.open_positive).select(F.explode(F.map_keys("m")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    stats = statistics(corpus, [])
+    # A row stays one row, also beside others of its path.
+    parts = F.filter(F.map_entries("m"), lambda e: tx.one_of(e["key"], p.positive, p.open_positive))
+    numbered = matches.select("path", "token_count", "m", F.monotonically_increasing_id().alias("__row"))
+    rows = numbered.select("path", "token_count", "__row", F.explode_outer(parts).alias("e")).select("path", "token_count", "__row", F.col("e.key").alias("term"), F.col("e.value.tf").alias("tf")).join(frequencies, "term", "left")
+    score = bm25(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("token_count").cast("double"), F.lit(float(stats.n)), F.lit(stats.mean_length))
+    part = F.when(F.col("term").isNotNull(), F.struct("term", "tf", "df", score.alias("score")))
+    rows = rows.groupBy("__row", "path").agg(F.sort_array(F.collect_list(part)).alias("explanation"))
+    return rows.select("path", F.aggregate("explanation", F.lit(0.0), lambda a, x: a + x["score"]).alias("score"), "explanation")
+
+
+def search(corpus: Corpus, expression: str, top_k: int | None = 20, most_prefix_terms: int | None = q.MOST_PREFIX_TERMS) -> DataFrame:
     """path, score, explanation of the best matches, best first; ties in byte order of path. Without top_k, all, unsorted."""
     node = q.parse_query(expression)
-    p = plan(node, corpus)
-    stats = statistics(corpus, p.positive) if p.positive else Statistics(0, 0.0, {})
-    out = scored(matching(corpus, p), stats, p.positive)
+    p = plan(node, corpus, most_prefix_terms)
+    if p.open_positive:
+        out = scored_open(matching(corpus, p), corpus, p)
+    else:
+        stats = statistics(corpus, p.positive) if p.positive else Statistics(0, 0.0, {})
+        out = scored(matching(corpus, p), stats, p.positive)
     return out if top_k is None else best(out, top_k)
 
 

@@ -41,16 +41,16 @@ class DirectCorpus:
         terms = self._tokenized().select(F.explode(F.filter("tokens", lambda t: t.startswith(prefix))).alias("term")).distinct().limit(most)
         return sorted(r["term"] for r in terms.collect())
 
-    def matched(self, terms: list[str], with_positions: bool, keep_all: bool) -> DataFrame:
-        """The documents' rows with `m`, a map from each of terms to its tf and positions."""
+    def matched(self, terms: list[str], with_positions: bool, keep_all: bool, prefixes: tuple[str, ...] = ()) -> DataFrame:
+        """The documents' rows with `m`, a map from each of terms, and each term with one of prefixes, to its tf and positions."""
         df = self._tokenized().withColumn("token_count", F.size("tokens"))
-        if not terms:
+        if not terms and not prefixes:
             return df.select(*DOC_COLUMNS, F.expr(f"cast(map() as {HIT})").alias("m"))
-        hits = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(terms))
+        hits = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: tx.one_of(x["t"], terms, prefixes))
         df = tx.once(df, hits=hits).select(*DOC_COLUMNS, "hits")
         if not keep_all:
             df = df.where(F.size("hits") > 0)
-        wanted = F.array(*map(F.lit, terms))
+        wanted = F.array_distinct(F.transform("hits", lambda x: x["t"])) if prefixes else F.array(*map(F.lit, terms))
         each = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.transform(F.filter("hits", lambda x: x["t"] == t), lambda x: x["i"]).alias("positions")))
         entries = F.transform(F.filter(each, lambda e: F.size(e["positions"]) > 0), lambda e: F.struct(e["term"], F.struct(F.size(e["positions"]).alias("tf"), e["positions"].alias("positions"))))
         return tx.once(df, m=F.map_from_entries(entries)).select(*DOC_COLUMNS, "m")
@@ -78,11 +78,11 @@ class IndexedCorpus:
         found = self.stored.where(F.col("term").startswith(prefix)).join(self.documents.select(*self.KEY), list(self.KEY), "left_semi")
         return sorted(r["term"] for r in found.select("term").distinct().limit(most).collect())
 
-    def matched(self, terms: list[str], with_positions: bool, keep_all: bool) -> DataFrame:
-        if not terms:
+    def matched(self, terms: list[str], with_positions: bool, keep_all: bool, prefixes: tuple[str, ...] = ()) -> DataFrame:
+        if not terms and not prefixes:
             return self.documents.select(*DOC_COLUMNS, F.expr(f"cast(map() as {HIT})").alias("m"))
         places = F.col("positions") if with_positions else F.expr("cast(null as array<int>)")
-        p = self.stored.where(F.col("term").isin(terms)).select(*self.KEY, F.struct("term", F.struct("tf", places.alias("positions")).alias("hit")).alias("e"))
+        p = self.stored.where(tx.one_of(F.col("term"), terms, prefixes)).select(*self.KEY, F.struct("term", F.struct("tf", places.alias("positions")).alias("hit")).alias("e"))
         p = p.groupBy(*self.KEY).agg(F.map_from_entries(F.collect_list("e")).alias("m"))
         joined = self.documents.join(p, list(self.KEY), "left" if keep_all else "inner")
         return tx.once(joined.select(*DOC_COLUMNS, "m"), m=F.coalesce("m", F.expr(f"cast(map() as {HIT})")))

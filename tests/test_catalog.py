@@ -104,6 +104,24 @@ def test_prefix_limit(spark):
         cp.search(corpus(257), "NOT prefix*", None)
 
 
+@pytest.fixture(scope="module")
+def many_terms(spark, tmp_path_factory):
+    """Tables whose documents have 300 terms with the catalog's prefix."""
+    d, r = tmp_path_factory.mktemp("many"), random.Random(3)
+    docs = [(i, " ".join([*(f"Tionth{r.randrange(300)}" for _ in range(i % 4 * 9)), *r.choices(WORDS, k=12), "tion"][i % 3:]), "en", f"src{i % 7}", 0) for i in range(200)]
+    docs += [(200, " ".join(f"tionth{i}" for i in range(300)), "en", "src1", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    return str(d), con
+
+
+@pytest.mark.parametrize("name", ["bm25_or"])
+def test_prefix_of_many_terms(spark, many_terms, name):
+    """The catalog's queries have no limit, since their SQL has none."""
+    test_against_duckdb(spark, many_terms, name)
+
+
 def test_plans(spark, tables):
     """Only the needed columns are read; top-k keeps k rows a task; one match needs no shuffle."""
     d, _ = tables
