@@ -100,7 +100,7 @@ register(
 def matches(expression: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = corpus(spark, sf_dir)
-        return cp.matching(c, cp.plan(q.parse_query(expression), c)).select("path")
+        return cp.matching(c, cp.plan(q.parse_query(expression), c, most_prefix_terms=None)).select("path")
 
     return run
 

@@ -116,7 +116,7 @@ def many_terms(spark, tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["bm25_or"])
+@pytest.mark.parametrize("name", ["bm25_or", "match_prefix"])
 def test_prefix_of_many_terms(spark, many_terms, name):
     """The catalog's queries have no limit, since their SQL has none."""
     test_against_duckdb(spark, many_terms, name)
