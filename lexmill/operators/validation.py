@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,25 @@ from pyspark.sql import functions as F
 KEY = ["segment_id", "doc_ord"]
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys of documents that are kept before they are joined: Spark then knows their size, and the postings stay where they are if it is small."""
+    keys = keys.distinct().persist()
+    keys.count()
+    return keys
+
+
+def _marked(postings: DataFrame, keys: DataFrame) -> DataFrame:
+    """postings with __in: whether keys has theirs."""
+    other = keys.select(*(F.col(k).alias(f"__{k}") for k in KEY), F.lit(True).alias("__found"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEY))
+    return postings.join(other, same, "left").withColumn("__in", F.coalesce("__found", F.lit(False))).drop("__found", *(f"__{k}" for k in KEY))
+
+
+def _times(rows: DataFrame, n) -> DataFrame:
+    """Each row n times, none where n is 0."""
+    return rows.withColumn("__n", n.cast("int")).where("__n > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).drop("__n")
+
+
 def ordinals(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """Segments whose document numbers are not 0 to count - 1."""
     return docs.groupBy("segment_id").agg(F.max("doc_ord").alias("last"), F.count("*").alias("n"), F.countDistinct("doc_ord").alias("different")).where("last + 1 <> n or different <> n")
@@ -25,15 +45,17 @@ def paths(docs: DataFrame, postings: DataFrame) -> DataFrame:
 
 def terms(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """Terms that are no terms, and postings that are there twice."""
-    odd = postings.where(~F.col("term").rlike(r"\A[a-z0-9_]{1,256}\z")).select("term", *KEY)
-    twice = postings.groupBy("term", *KEY).count().where("count > 1").select("term", *KEY)
-    return odd.unionByName(twice)
+    # Rows are brought together first: hardly any are alike, so counting in the tasks before would save nothing.
+    counted = postings.select("term", *KEY).repartition("term", *KEY).groupBy("term", *KEY).count()
+    odd = F.when(F.col("term").rlike(r"\A[a-z0-9_]{1,256}\z"), 0).otherwise(F.col("count"))
+    return _times(counted, odd + F.when(F.col("count") > 1, 1).otherwise(0)).select("term", *KEY)
 
 
 def postings(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings of no document, or without occurrences."""
-    lost = postings.join(docs.select(*KEY), KEY, "left_anti").select("term", *KEY)
-    return lost.unionByName(postings.where("tf <= 0").select("term", *KEY))
+    lost = _small(postings.select(*KEY).distinct().join(docs.select(*KEY), KEY, "left_anti"))
+    found = _marked(postings.select("term", "tf", *KEY), lost)
+    return _times(found, F.col("__in").cast("int") + F.coalesce(F.col("tf") <= 0, F.lit(False)).cast("int")).select("term", *KEY)
 
 
 def positions(docs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -49,7 +71,7 @@ def lengths(docs: DataFrame, postings: DataFrame) -> DataFrame:
 
 def hidden(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings of tombstones."""
-    return postings.join(docs.where("tombstone").select(*KEY), KEY, "left_semi")
+    return _marked(postings, _small(docs.where("tombstone").select(*KEY))).where("__in").drop("__in")
 
 
 RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {f.__name__: f for f in (ordinals, tombstones, paths, terms, postings, positions, lengths, hidden)}

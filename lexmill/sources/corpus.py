@@ -8,11 +8,15 @@ and shuffles those by document. Both give the same rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from lexmill.functions import grouping
 from lexmill.functions import text as tx
+from lexmill.functions.deploy import ship
 
 DOC_COLUMNS = ("path", "file_size", "mtime_ns", "token_count")
 HIT = "map<string,struct<tf:int,positions:array<int>>>"
@@ -56,7 +60,11 @@ class DirectCorpus:
         return tx.once(df, m=F.map_from_entries(entries)).select(*DOC_COLUMNS, "m")
 
     def postings(self) -> DataFrame:
-        return postings_of(self._tokenized().select("path", "tokens"), ["path"], self.positions)
+        return postings_of(self.documents, ["path"], self.positions, repeated(self.documents, ["path"]), tx.MOST_TOKEN_BYTES)
+
+    def frequencies(self) -> DataFrame:
+        """term, df, cf."""
+        return frequencies_of(self.documents, ["path"], repeated(self.documents, ["path"]), tx.MOST_TOKEN_BYTES)
 
 
 @dataclass(frozen=True)
@@ -94,11 +102,44 @@ class IndexedCorpus:
 Corpus = DirectCorpus | IndexedCorpus
 
 
-def postings_of(docs: DataFrame, key: list[str], positions: bool = True) -> DataFrame:
-    """term, key, tf, positions of docs, which have key and tokens: one aggregation, combined before the shuffle as far as a task's rows go."""
-    rows = docs.select(*key, F.posexplode("tokens").alias("pos", "term"))
-    places = F.sort_array(F.collect_list("pos")) if positions else F.lit(None).cast("array<int>")
-    return rows.groupBy("term", *key).agg(F.count("*").cast("int").alias("tf"), places.alias("positions")).select("term", *key, "tf", "positions")
+def repeated(docs: DataFrame, key: list[str]) -> DataFrame | None:
+    """The keys of more than one row of docs; None where there are none, as is usual. Reads and shuffles the keys alone."""
+    again = docs.groupBy(*key).count().where("count > 1").select(*key)
+    return None if again.isEmpty() else again
+
+
+def _divided(docs: DataFrame, key: list[str], again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that have their key alone, and the others."""
+    many = again.select(*(F.col(k).alias(f"__{k}") for k in key))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key))
+    return docs.join(many, same, "left_anti"), docs.join(many, same, "left_semi")
+
+
+def postings_of(docs: DataFrame, key: list[str], positions: bool = True, again: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """term, key, tf, positions of docs, which have key and text. A row's postings are made where the row is; only those of keys that
+    several rows have, `again`, are brought together. Texts with a token of more than `most` bytes are left out."""
+    ship(docs.sparkSession)
+    docs = docs.select(*key, "text")
+    schema = StructType([StructField("term", StringType()), *docs.schema.fields[:-1], StructField("tf", IntegerType()), StructField("positions", ArrayType(IntegerType()))])
+    made = lambda rows: rows.mapInArrow(partial(grouping.postings_batches, positions=positions, most=most), schema)
+    if again is None:
+        return made(docs)
+    alone, many = _divided(docs, key, again)
+    places = F.sort_array(F.flatten(F.collect_list("positions"))) if positions else F.lit(None).cast("array<int>")
+    met = made(many).groupBy("term", *key).agg(F.sum("tf").cast("int").alias("tf"), places.alias("positions"))
+    return made(alone).unionByName(met)
+
+
+def frequencies_of(docs: DataFrame, key: list[str], again: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """term, df (of how many keys), cf (how often) of docs, which have key and text; a task's terms are counted before the shuffle."""
+    ship(docs.sparkSession)
+    docs = docs.select(*key, "text")
+    alone, many = (docs, None) if again is None else _divided(docs, key, again)
+    counted = alone.select("text").mapInArrow(partial(grouping.frequency_batches, most=most), "term string, df long, cf long")
+    if many is not None:
+        met = postings_of(many, key, False, again, most)
+        counted = counted.unionByName(met.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def documents_view(df: DataFrame, path, text, mtime_ns) -> DataFrame:

@@ -122,6 +122,27 @@ def test_prefix_of_many_terms(spark, many_terms, name):
     test_against_duckdb(spark, many_terms, name)
 
 
+def test_rows_that_share_a_path(spark, tmp_path):
+    """Documents given twice count as one, as SQL's groups do; postings otherwise stay in their task, whatever the text."""
+    texts = ["the of The", None, "", "of zz é of", "zz", "x" * 300]
+    rows = [(i, t, "en", "src1", 0) for i, t in enumerate(texts)] + [(0, "of the", "en", "src1", 0), (4, "zz zz", "en", "src1", 0), (4, "zz", "en", "src1", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("postings", "visible_df"):
+        test_against_duckdb(spark, (str(tmp_path), con), name)
+    frequencies = {r["term"]: (r["df"], r["cf"]) for r in catalog.QUERIES["term_df"](spark, str(tmp_path)).collect()}
+    assert frequencies == {"the": (1, 3), "of": (2, 4), "zz": (2, 5)}  # not the token of 300 letters
+
+
+def test_postings_stay_in_their_task(spark, tables):
+    d, _ = tables
+    plan = lambda name: catalog.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan("postings")
+    for name in ("term_df", "visible_df", "validate_positions"):  # no shuffle of postings
+        assert "collect_list" not in plan(name) and "posexplode" not in plan(name), name
+
+
 def test_plans(spark, tables):
     """Only the needed columns are read; top-k keeps k rows a task; one match needs no shuffle."""
     d, _ = tables
