@@ -24,13 +24,11 @@ def apply_batch(writer: mt.IndexWriter, batch: DataFrame) -> mt.IndexResult | No
         "path", F.when(gone, F.lit(0)).otherwise(F.octet_length("text")).cast("long").alias("file_size"), F.when(gone, F.lit(0)).otherwise(F.col("mtime_ns")).cast("long").alias("mtime_ns"),
         F.when(~gone, F.xxhash64("text")).alias("content_hash"), "text", F.lit(None).cast("string").alias("error"), gone.alias("tombstone"),
     )
-    rows = mt.with_errors(rows)
     with st.Transaction(writer.folder, create=False) as t:
         writer._ready(t)
-        good = rows.where("error is null")
-        if good.isEmpty():
+        candidate, _, n = writer._delta(t, rows)
+        if not n:
             return None
-        candidate = writer._delta(t, good.drop("text", "error"))
         new, compacted, notes = writer._publish(t, candidate)
         return mt.IndexResult("compacted" if compacted else "published", new.generation, len(new.active), diagnostics=notes)
 

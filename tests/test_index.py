@@ -230,3 +230,39 @@ def test_stream(spark, tmp_path):
     assert found(spark, tmp_path / "idx", "one", "two", "three") == [["a"], [], ["b"]]
     send([("a", None, 9)])
     assert found(spark, tmp_path / "idx", "one", "three") == [[], ["b"]]
+
+
+def test_numbers_and_staging(spark, tmp_path):
+    """Documents are numbered on in order of path over partitions, with failed ones and shared paths among them; staged rows and tokens don't stay."""
+    idx = tmp_path / "idx"
+    rows = [(f"p{i:04}", "x" * 300 if i % 7 == 3 else f"word{i} all ALL") for i in range(300)] + [("p0005", "again")]
+    r = IndexWriter(spark, str(idx)).rebuild(spark.createDataFrame(rows, "path string, text string").repartition(5))
+    assert (r.metrics.indexed_files, r.metrics.failed_files) == (258, 43) and len(r.diagnostics) == 43
+    assert [p.name for p in idx.iterdir() if p.name.startswith(".")] == []
+    _, docs, post = st.read_index(spark, idx)
+    assert "text" not in docs.columns
+    got = docs.orderBy("doc_ord").collect()
+    assert [x["doc_ord"] for x in got] == list(range(258)) and [x["path"] for x in got] == sorted(p for p, t in rows if len(t) < 300)
+    assert [(x["tf"], x["positions"]) for x in post.where("term = 'all'").collect()] == [(2, [1, 2])] * 257
+
+
+def test_rules_by_row_and_at_once(spark):
+    """Each rule gives a row for each fault, also for two faults of one posting, and check() names the rule that one query finds broken."""
+    from lexmill.operators import validation as vd
+    from lexmill.operators.maintenance import visible
+
+    docs = [(1, 0, "a", 1, 1, 3, False, 1), (1, 1, "b", 1, 1, 1, False, 1), (1, 2, "c", 0, 0, 0, True, None)]
+    good = [("x", 1, 0, 2, [0, 2]), ("y", 1, 0, 1, [1]), ("x", 1, 1, 1, [0])]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    d = frame(docs, st.DOCUMENTS)
+    assert vd.check(d, frame(good, st.POSTINGS), visible(d)).asDict() == {"terms": 2, "postings": 3, "positions": 4}
+    assert vd.check(d.where("false"), frame([], st.POSTINGS), visible(d.where("false"))).asDict() == {"terms": 0, "postings": 0, "positions": 0}
+    for rule, more, n in (
+        ("terms", [("X", 1, 0, 1, [5])] * 2, 3), ("postings", [("x", 1, 9, 0, [])], 2), ("postings", [("z", 1, 1, 0, [])], 1),
+        ("lengths", [("z", 1, 1, 1, [1])], 1), ("hidden", [("x", 1, 2, 1, [0])], 1), ("terms", [("y", 1, 0, 1, [1])], 1),
+    ):
+        p = frame(good + more, st.POSTINGS)
+        assert vd.RULES[rule](d, p).count() == n, (rule, more)
+        first = next(name for name in vd.RULES if not vd.RULES[name](d, p).isEmpty())
+        with pytest.raises(RuntimeError, match=f"'{first}'"):
+            vd.check(d, p, visible(d))
